@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import mixing, quality, sharding
+from attesta.llm import linededup, minhash, mixing, quality, sharding
 from attesta.llm.common import read
 
 
 def op4_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(read(spark, sf_dir, "documents"))
+    """The documents that pass, with their ratios."""
+    return quality.score(read(spark, sf_dir, "documents")).where("reason = 'ok'")
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that goes, with the one of its group that stays."""
+    return minhash.duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the chunks that occur before."""
+    return linededup.dedup(read(spark, sf_dir, "documents"), n_chars="n_chars")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +34,7 @@ def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_bands, op8_source_mix, op9_slot_shards)}
+    return {f.__name__: f for f in (op4_quality_bands, op5_near_duplicates, op6_line_chunks, op8_source_mix, op9_slot_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
