@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import linededup, minhash, mixing, quality, sharding
+from attesta.llm import linededup, minhash, mixing, pieces, quality, sharding, toxicity
 from attesta.llm.common import read
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(read(spark, sf_dir, "documents"))
+
+
+def op3_toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that pass, with their ratios."""
     return quality.score(read(spark, sf_dir, "documents")).where("reason = 'ok'")
@@ -34,7 +42,7 @@ def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_bands, op5_near_duplicates, op6_line_chunks, op8_source_mix, op9_slot_shards)}
+    return {f.__name__: f for f in (op2_sampled_pieces, op3_toxic_documents, op4_quality_bands, op5_near_duplicates, op6_line_chunks, op8_source_mix, op9_slot_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
