@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import linededup, minhash, mixing, pieces, quality, sharding, toxicity
+from attesta.llm import ann, licences, linededup, minhash, mixing, pieces, quality, quotes, sharding, toxicity
 from attesta.llm.common import read
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup(read(spark, sf_dir, "documents"), n_chars="n_chars")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.choose(read(spark, sf_dir, "documents"))
 
@@ -41,8 +49,16 @@ def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op10_quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threads(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sampled_pieces, op3_toxic_documents, op4_quality_bands, op5_near_duplicates, op6_line_chunks, op8_source_mix, op9_slot_shards)}
+    found = (
+        op1_nearest_vectors, op2_sampled_pieces, op3_toxic_documents, op4_quality_bands, op5_near_duplicates,
+        op6_line_chunks, op7_licences, op8_source_mix, op9_slot_shards, op10_quoted_threads,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
