@@ -23,9 +23,9 @@ LISTS = 2.0
 #: A list longer than this many times the average is split.
 LONGEST = 2.0
 #: A vector is posted to lists, and a query visits lists, up to so many times the nearest centroid's distance.
-POST_RATIO, VISIT_RATIO = 1.12, 1.35
-#: Lists a vector is posted to, and a query visits, at most.
-MOST_POSTS, MOST_VISITS = 4, 24
+POST_RATIO, VISIT_RATIO = 1.06, 1.1
+#: Copies of a vector, and centroids that a walk keeps for the ratio to choose from, at most.
+MOST_POSTS, MOST_VISITS = 8, 96
 ROUNDS = 3
 DEGREE, BEAM = 24, 48
 SEED = 1
@@ -64,6 +64,10 @@ class Graph:
     def search(self, q: np.ndarray, most: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(distances, centroids), nearest first, of the ``most`` centroids that the walks find; -1 pads."""
         n, m = len(self.c), len(q)
+        rows = max(64, 50_000_000 // n)
+        if m > rows:
+            parts = [self.search(q[lo : lo + rows], most, beam) for lo in range(0, m, rows)]
+            return np.vstack([a for a, _ in parts]), np.vstack([b for _, b in parts])
         beam = min(max(beam, most), n)
         if n <= 2 * beam:
             d = np.maximum(0, self.norm[None] + (q**2).sum(axis=1)[:, None] - 2 * q @ self.c.T)
@@ -124,6 +128,27 @@ def usable(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
     return rows.where(F.size("v") == width).groupBy("k").agg(F.min("v").alias("v")), width
 
 
+def _splitter(width: int, most: float):
+    """Two-means and more: a long list's members to the centroids of lists of about half the most."""
+
+    def split(t: pa.Table) -> pa.Table:
+        x = _matrix(t.column("v").combine_chunks(), width)
+        order = np.argsort(t.column("k").to_numpy(), kind="stable")
+        x = x[order]
+        parts = min(len(x), max(2, -(-len(x) // int(most / 2))))
+        own = x[np.linspace(0, len(x) - 1, parts).astype(int)].astype(np.float64)
+        for _ in range(6):
+            d = (own**2).sum(axis=1)[None] - 2 * x @ own.T
+            near = d.argmin(axis=1)
+            for j in range(len(own)):
+                if (near == j).any():
+                    own[j] = x[near == j].mean(axis=0)
+        own = np.unique(own.astype(np.float32), axis=0)
+        return pa.table({"c": pa.array(list(own), pa.list_(pa.float32()))})
+
+    return split
+
+
 def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest: float = LONGEST, rounds: int = ROUNDS) -> np.ndarray:
     """Balanced centroids: seeds by key hash, refined over all vectors, long lists split by two-means.
 
@@ -174,22 +199,7 @@ def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest
                     at = np.flatnonzero(is_long[near])
                     yield pa.RecordBatch.from_arrays([pa.array(near[at].astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["i", "k", "v"])
 
-        def split(t: pa.Table, most=most) -> pa.Table:
-            x = _matrix(t.column("v").combine_chunks(), width)
-            order = np.argsort(t.column("k").to_numpy(), kind="stable")
-            x = x[order]
-            parts = min(len(x), max(2, -(-len(x) // int(most / 2))))
-            own = x[np.linspace(0, len(x) - 1, parts).astype(int)].astype(np.float64)
-            for _ in range(6):
-                d = (own**2).sum(axis=1)[None] - 2 * x @ own.T
-                near = d.argmin(axis=1)
-                for j in range(len(own)):
-                    if (near == j).any():
-                        own[j] = x[near == j].mean(axis=0)
-            own = np.unique(own.astype(np.float32), axis=0)
-            return pa.table({"c": pa.array(list(own), pa.list_(pa.float32()))})
-
-        new = rows.select("k", "v").mapInArrow(members, "i int, k long, v array<float>").groupBy("i").applyInArrow(split, "c array<float>").collect()
+        new = rows.select("k", "v").mapInArrow(members, "i int, k long, v array<float>").groupBy("i").applyInArrow(_splitter(width, most), "c array<float>").collect()
         c = np.unique(np.vstack([np.delete(c, long, axis=0), np.array([r["c"] for r in new], np.float32).reshape(-1, width)]), axis=0)
         c, count = moved(c)
     return c
