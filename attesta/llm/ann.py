@@ -26,6 +26,8 @@ LONGEST = 2.0
 POST_RATIO, VISIT_RATIO = 1.06, 1.1
 #: Copies of a vector, and centroids that a walk keeps for the ratio to choose from, at most.
 MOST_POSTS, MOST_VISITS = 8, 96
+#: A query visits lists that hold this many times the neighbours asked for, whatever the ratio.
+ENOUGH = 8
 ROUNDS = 3
 DEGREE, BEAM = 24, 48
 SEED = 1
@@ -149,8 +151,8 @@ def _splitter(width: int, most: float):
     return split
 
 
-def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest: float = LONGEST, rounds: int = ROUNDS) -> np.ndarray:
-    """Balanced centroids: seeds by key hash, refined over all vectors, long lists split by two-means.
+def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest: float = LONGEST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Balanced centroids and how many vectors are nearest to each: seeds by key hash, refined over all vectors, long lists split by two-means.
 
     The driver gets sums and counts by centroid, and the centroids of split lists.
     """
@@ -182,7 +184,7 @@ def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest
         filled = count > 0
         return (total[filled] / count[filled, None]).astype(np.float32), count[filled]
 
-    for _ in range(rounds):
+    for _ in range(max(1, rounds)):
         c, count = moved(c)
     for _ in range(rounds):
         most = max(4.0, longest * n / len(c))
@@ -202,7 +204,7 @@ def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest
         new = rows.select("k", "v").mapInArrow(members, "i int, k long, v array<float>").groupBy("i").applyInArrow(_splitter(width, most), "c array<float>").collect()
         c = np.unique(np.vstack([np.delete(c, long, axis=0), np.array([r["c"] for r in new], np.float32).reshape(-1, width)]), axis=0)
         c, count = moved(c)
-    return c
+    return c, count
 
 
 def nearest(
@@ -227,16 +229,20 @@ def nearest(
     other = f"neighbour_{key}"
     if n < 2:
         return rows.sparkSession.createDataFrame([], f"`{key}` long, `{other}` long, rank int, distance double")
-    graph = Graph(centroids(rows, width, n, lists))
+    c, sizes = centroids(rows, width, n, lists)
+    graph = Graph(c)
 
     def posted(batches):
         for whole in batches:
             for batch in _batches(whole):
                 d, i = graph.search(_matrix(batch.column(1), width), MOST_VISITS)
                 near = d[:, :1]
-                visit = (i >= 0) & np.isfinite(d) & (d <= near * visit_ratio + 1e-12)
-                post = visit & (d <= near * post_ratio + 1e-12) & (np.arange(d.shape[1])[None] < MOST_POSTS)
-                r, s = np.nonzero(visit)
+                there = (i >= 0) & np.isfinite(d)
+                held = np.where(there, sizes[i], 0)
+                enough = held.cumsum(axis=1) - held >= ENOUGH * k
+                visit = there & ((d <= near * visit_ratio + 1e-12) | ~enough)
+                post = there & (d <= near * post_ratio + 1e-12) & (np.arange(d.shape[1])[None] < MOST_POSTS)
+                r, s = np.nonzero(visit | post)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(i[r, s].astype(np.int32)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(post[r, s])], names=["list", "k", "v", "posted"]
                 )
