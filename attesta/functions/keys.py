@@ -144,7 +144,7 @@ def sql_host(x: str) -> str:
 def sql_domain(x: str) -> str:
     h = sql_host(x)
     some = ", ".join(f"'{s}'" for s in SUFFIXES)
-    part = lambda n: f"array_to_string(list_slice(string_split({h}, '.'), -{n}, NULL), '.')"
+    part = lambda n: f"array_to_string(string_split({h}, '.')[-{n}:], '.')"
     return f"CASE WHEN regexp_matches({h}, '^[0-9]+(\\.[0-9]+)*$') OR len(string_split({h}, '.')) <= 2 THEN {h} WHEN {part(2)} IN ({some}) THEN {part(3)} ELSE {part(2)} END"
 
 

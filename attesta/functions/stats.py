@@ -51,7 +51,7 @@ def percent(x: Column) -> Column:
 
 
 def rate_with_interval(p: Column, low: Column, high: Column) -> Column:
-    """'33% (CI 12\u201361%)' with what is known; a dash without a rate."""
+    """'33% (CI 12%\u201361%)' with what is known; a dash without a rate."""
     both = low.isNotNull() & high.isNotNull()
     return F.when(p.isNull(), "\u2014").when(both, F.concat(percent(p), F.lit(" (CI "), percent(low), F.lit("\u2013"), percent(high), F.lit(")"))).otherwise(percent(p))
 

@@ -1 +1 @@
-
+"""Roll-ups that hold as streams: those whose parts can be merged."""
