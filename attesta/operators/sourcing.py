@@ -257,3 +257,31 @@ def enriched_pages(raw: DataFrame, extractor: str, now: Column) -> DataFrame:
             "cache_key": keys.cache_key(F.col("url"), F.col("html"), F.col("terms"), F.lit(extractor)),
         }
     )
+
+
+def firmographics(raw: dict[str, Column]) -> Column:
+    """A struct from vendor fields: texts trimmed, numbers finite or null, the stack from a list or a comma text."""
+    from attesta.sources.responses import tech_stack
+
+    blank = lambda c: F.nullif(keys.trimmed(c), F.lit(""))
+    none = F.lit(None)
+    get = lambda name: raw.get(name, none.cast("string"))
+    return F.struct(
+        blank(get("size")).alias("size"), blank(get("funding_stage")).alias("funding_stage"), stats.finite(get("headcount_growth")).alias("headcount_growth"),
+        stats.finite(get("hiring_velocity")).alias("hiring_velocity"), tech_stack(raw.get("tech_list", none.cast("array<string>")), get("tech_text")).alias("tech_stack"),
+    )
+
+
+def enriched_companies(companies: DataFrame, family: str, values: DataFrame, version: str) -> DataFrame:
+    """Companies with a family's struct from ``values`` (domain, value), its flag kept in step, and its version
+    noted where the family now holds anything; companies without a value keep what they had.
+    """
+    v = values.select("domain", F.col("value").alias("_v"))
+    d = companies.join(v, "domain", "left").withColumn(family, F.coalesce("_v", family)).drop("_v")
+    has = company_families()[family]
+    return d.withColumns({"coverage_flags": toggled(F.col("coverage_flags"), f"{family}_missing", ~has), "source_versions": stamped(F.col("source_versions"), family, version, has)})
+
+
+def extractor_stamp(base: str, asked: Column, parsed: Column) -> Column:
+    """The extractor's version with '+subj' where judged features were read, '+subj-err' where that failed."""
+    return F.concat(F.lit(base), F.when(~asked, "").when(parsed, "+subj").otherwise("+subj-err"))

@@ -334,3 +334,25 @@ def test_streams(spark, tmp_path):
     streams.write(streams.weekly(s, "1 day"), str(tmp_path / "w"), str(tmp_path / "cw")).awaitTermination()
     weeks = spark.read.parquet(str(tmp_path / "w"))
     assert all(r["week"]["start"].weekday() == 0 for r in weeks.collect())
+
+
+def test_json_records_and_enrichment(spark, tmp_path):
+    from attesta.sources.fixtures import read_json
+
+    (tmp_path / "c.json").write_text('[{"domain":"a.com","coverage_flags":{},"offpage":{"g2_presence":true},"firmographics":{"tech_stack":["x"],"headcount_growth":"0.5"}},{"domain":"b.com","coverage_flags":["f"],"_seq":3}]')
+    c = {r["domain"]: r for r in read_json(spark, str(tmp_path / "c.json"), "companies").collect()}
+    assert c["a.com"]["coverage_flags"] == [] and c["a.com"]["offpage"]["g2_presence"] == 1.0 and c["a.com"]["firmographics"]["tech_stack"] == ["x"] and c["a.com"]["firmographics"]["headcount_growth"] == 0.5
+    assert c["b.com"]["coverage_flags"] == ["f"] and c["b.com"]["_seq"] == 3 and c["b.com"]["offpage"] is None
+    (tmp_path / "p.json").write_text('{"url":"u","scraped_at":"2024-01-01T00:00:00Z","content_features":{"schema_markup":1,"word_count":7}}')
+    p = read_json(spark, str(tmp_path / "p.json"), "pages").first()
+    assert p["scraped_at"] == 1_704_067_200_000 and p["content_features"]["schema_markup"] is True and p["content_features"]["word_count"] == 7.0
+    (tmp_path / "m.json").write_text('{"query_id":"q","P_cited":0.5,"ts":5}')
+    m = read_json(spark, str(tmp_path / "m.json"), "measurements").first()
+    assert m["p_cited"] == 0.5 and m["ts"] == 5
+    df = read_json(spark, str(tmp_path / "c.json"), "companies")
+    raw = frame(spark, [("b.com", " 11-50 ", "x", "a, b")], "domain string, s string, g string, t string")
+    values = raw.select("domain", sourcing.firmographics({"size": F.col("s"), "headcount_growth": F.col("g"), "tech_text": F.col("t")}).alias("value"))
+    out = {r["domain"]: r for r in sourcing.enriched_companies(df.withColumn("coverage_flags", F.array(F.lit("firmographics_missing"))), "firmographics", values, "v2").collect()}
+    assert tuple(out["b.com"]["firmographics"]) == ("11-50", None, None, None, ["a", "b"]) and out["b.com"]["coverage_flags"] == [] and out["b.com"]["source_versions"] == {"firmographics": "v2"}
+    s = spark.range(1).select(*[sourcing.extractor_stamp("v1", F.lit(a), F.lit(b)).alias(f"x{i}") for i, (a, b) in enumerate([(False, False), (True, True), (True, False)])]).first()
+    assert tuple(s) == ("v1", "v1+subj", "v1+subj-err")
