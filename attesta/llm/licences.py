@@ -15,9 +15,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from attesta.llm.common import WORD_BYTE, buffers, mix64, narrow, prefix_hashes, span_hashes, spans, steps
+from attesta.llm.common import WORD_BYTE, buffers, hash_sample, mix64, narrow, prefix_hashes, span_hashes, spans, steps
 
 #: Documents whose paragraphs serve as ordinary text in training, at most; chosen by a hash of their keys.
 SAMPLE_DOCS = 400
@@ -315,8 +314,8 @@ def fit(plain: list[str], variants: int = 40, seed: int = SEED) -> Model:
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> list[str]:
     """Paragraphs of at most ``most`` documents; rows with neither key nor text give none."""
-    rows = narrow(docs, key, text).where("k is not null and t is not null").orderBy(F.xxhash64("k", F.lit(SEED)), "k", "t").limit(most).collect()
-    return [line for r in rows for line in r["t"].split("\n")]
+    rows = hash_sample(narrow(docs, key, text).where("k is not null and t is not null"), "k", most, SEED).collect()
+    return [line for r in sorted(rows) for line in r["t"].split("\n")]
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
