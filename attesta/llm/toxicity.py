@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import NOT_SPACE_BYTE, WORD_BYTE, buffers, mix64, narrow, prefix_hashes, quoted, span_hashes, spans, steps
+from attesta.llm.common import NOT_SPACE_BYTE, WORD_BYTE, buffers, hash_sample, mix64, narrow, prefix_hashes, quoted, span_hashes, spans, steps
 
 #: Labelled documents that the classifier is fitted on, at most; chosen by a hash of their keys.
 SAMPLE_DOCS = 20_000
@@ -167,7 +167,7 @@ def suspicious(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[
     triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _IS_LETTER[data[2:]]
     sums = np.concatenate([[0], np.cumsum(inner)])
     threes = np.concatenate([[0], np.cumsum(triple)])
-    pick = (n >= 2) & (sums[end] - sums[start] > 0) | (threes[end] - threes[start] > 0)
+    pick = (n >= 1) & (sums[end] - sums[start] > 0) | (threes[end] - threes[start] > 0)
     raw = data.tobytes()
     rows, found = [], []
     for r, s, e in zip(row[pick].tolist(), start[pick].tolist(), end[pick].tolist()):
@@ -276,13 +276,8 @@ def fitted(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, model: Letters, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Weights:
     """Weights from at most ``sample`` labelled documents, so what is broadcast and gathered is bounded."""
-    known = (
-        labels.select(quoted(key).cast("long").alias("k"), quoted("toxic").cast("int").alias("y"))
-        .where("k is not null and y is not null")
-        .groupBy("k").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("k", F.lit(SEED)), "k")
-        .limit(sample)
-    )
+    marked = labels.select(quoted(key).cast("long").alias("k"), quoted("toxic").cast("int").alias("y")).where("k is not null and y is not null")
+    known = hash_sample(marked.groupBy("k").agg(F.max("y").alias("y")), "k", sample, SEED)
     rows = narrow(docs, key, text).where("t is not null").join(F.broadcast(known), "k").select("k", "t", "y")
 
     def distinct(batches):
