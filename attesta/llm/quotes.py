@@ -35,10 +35,9 @@ def parsed(messages: DataFrame) -> DataFrame:
     d = messages.withColumn("lines", marks)
     at = F.col("lines")
     n = F.size(at)
-    lead = F.transform(at, lambda x, i: (x["level"] == 0) & x["line"].rlike(_LEAD_IN) & (i + 1 < n) & (F.get(at, i + 1)["level"] > 0))
-    d = d.withColumn("lead", lead).withColumn(
-        "lines", F.filter(F.transform(F.col("lines"), lambda x, i: F.when(~F.get(F.col("lead"), i), x)), lambda x: x.isNotNull())
-    )
+    lead = lambda x, i: (x["level"] == 0) & x["line"].rlike(_LEAD_IN) & (i + 1 < n) & (F.get(at, i + 1)["level"] > 0)
+    told = F.transform(at, lambda x, i: F.struct(x["level"].alias("level"), x["line"].alias("line"), F.coalesce(lead(x, i), F.lit(False)).alias("lead")))
+    d = d.withColumn("lines", told).withColumn("lines", F.filter("lines", lambda x: ~x["lead"]))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), lambda i: (i == 0) | (F.get(F.col("lines"), i)["level"] != F.get(F.col("lines"), i - 1)["level"]))
     d = d.withColumn("starts", F.when(F.size("lines") == 0, F.array().cast("array<int>")).otherwise(starts))
     passages = F.transform(
@@ -50,7 +49,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     )
     own = F.filter("lines", lambda x: x["level"] == 0)["line"]
     body = F.trim(F.regexp_replace(F.array_join(own, "\n"), r"^\s+|\s+$", ""))
-    return d.withColumn("passages", passages).withColumn("body", body).drop("lines", "lead", "starts")
+    return d.withColumn("passages", passages).withColumn("body", body).drop("lines", "starts")
 
 
 def unit_hashes(passages: Column) -> Column:
