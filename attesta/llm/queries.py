@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.sql()}
+    return {"op8_source_mix": mixing.sql(), "op10_quoted_threads": quotes.sql()}

@@ -131,3 +131,45 @@ def threads(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
         F.col("ac").alias("thread"), F.row_number().over(line).cast("long").alias("position"), F.col("conv").alias(conversation), F.col("turn").alias(turn), F.col("role").alias(role),
         "body", "parent_conv_id", "parent_turn", "depth", "link", "n_quotes",
     )
+
+
+def sql(table: str = "conversations") -> str:
+    """The same in DuckDB's SQL."""
+    norm = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return rf"""
+WITH RECURSIVE raw AS (SELECT CAST(conv_id AS BIGINT) AS conv, CAST(turn AS BIGINT) AS turn, role, text AS t FROM {table}),
+named AS (SELECT *, coalesce(CAST(conv AS VARCHAR), 'm:' || md5(concat_ws('|', turn, role, t))) AS c, coalesce(conv, 9223372036854775807) AS n FROM raw),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role NULLS FIRST, t NULLS FIRST) AS pos FROM named),
+cut AS (SELECT n, c, pos, string_split(regexp_replace(coalesce(t, ''), '\r\n?', chr(10), 'g'), chr(10)) AS parts FROM placed),
+each AS (SELECT n, c, pos, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM cut),
+levels AS (
+  SELECT n, c, pos, i, len(regexp_replace(regexp_extract(x, '{_PREFIX}', 1), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_PREFIX}[ \t]?', '') AS line FROM each),
+ahead AS (SELECT *, lead(level) OVER (PARTITION BY c, pos ORDER BY i) AS after FROM levels),
+lines AS (SELECT n, c, pos, i, level, line FROM ahead WHERE NOT coalesce(level = 0 AND after > 0 AND regexp_matches(line, '{_LEAD_IN}'), false)),
+marked AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY c, pos ORDER BY i) THEN 0 ELSE 1 END AS head FROM lines),
+grouped AS (SELECT *, sum(head) OVER (PARTITION BY c, pos ORDER BY i) AS g FROM marked),
+passages AS (SELECT n, c, pos, g, any_value(level) AS level, string_agg(line, chr(10) ORDER BY i) AS whole, list({norm("line")} ORDER BY i) AS own FROM grouped GROUP BY n, c, pos, g),
+units AS (
+  SELECT n, c, pos, level, unnest(list_distinct(list_concat(list_concat(list_transform(string_split_regex(whole, '\n[ \t]*\n'), lambda p: {norm("p")}), [{norm("whole")}]),
+    list_filter(own, lambda p: len(p) >= {LEAST_LINE})))) AS h FROM passages),
+said AS (SELECT DISTINCT n, c, pos, h FROM units WHERE level = 0 AND h <> ''),
+cites AS (SELECT n, c, pos, h, len(h) AS size, min(level) AS level FROM units WHERE level > 0 AND h <> '' GROUP BY n, c, pos, h),
+near AS (SELECT q.n, q.c, q.pos, q.level, q.size, 1 AS own, q.c AS pc, max(s.pos) AS pp FROM cites q JOIN said s ON q.c = s.c AND q.h = s.h AND s.pos < q.pos GROUP BY q.n, q.c, q.pos, q.h, q.level, q.size),
+firsts AS (SELECT h, n AS fn, c AS fc, pos AS fp FROM said QUALIFY row_number() OVER (PARTITION BY h ORDER BY n, c, pos) = 1),
+far AS (SELECT n, c, pos, level, size, 0 AS own, fc AS pc, fp AS pp FROM cites JOIN firsts USING (h) WHERE fn < n OR (fn = n AND fc < c)),
+links AS (
+  SELECT c, pos, pc, pp FROM (SELECT * FROM near UNION ALL SELECT * FROM far)
+  QUALIFY row_number() OVER (PARTITION BY c, pos ORDER BY level, own DESC, size DESC, CASE WHEN own = 1 THEN -pp ELSE pp END, pc DESC, pp DESC) = 1),
+bodies AS (SELECT c, pos, regexp_replace(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), '^\s+|\s+$', '', 'g') AS body FROM lines GROUP BY c, pos),
+quoted AS (SELECT c, pos, count(*) FILTER (level > 0) AS n_quotes FROM passages GROUP BY c, pos),
+tied AS (
+  SELECT p.n, p.c, p.pos, p.conv, p.turn, p.role, coalesce(b.body, '') AS body, coalesce(q.n_quotes, 0) AS n_quotes,
+    coalesce(l.pc, CASE WHEN p.pos > 1 THEN p.c END) AS pc, coalesce(l.pp, CASE WHEN p.pos > 1 THEN p.pos - 1 END) AS pp,
+    CASE WHEN l.pc IS NOT NULL THEN 'quote' WHEN p.pos > 1 THEN 'turn' ELSE 'root' END AS link
+  FROM placed p LEFT JOIN links l USING (c, pos) LEFT JOIN bodies b USING (c, pos) LEFT JOIN quoted q USING (c, pos)),
+tree AS (
+  SELECT c, pos, c AS root, pos AS root_pos, CAST(0 AS BIGINT) AS depth FROM tied WHERE pc IS NULL
+  UNION ALL SELECT t.c, t.pos, r.root, r.root_pos, r.depth + 1 FROM tied t JOIN tree r ON t.pc = r.c AND t.pp = r.pos)
+SELECT r.root AS thread, CAST(row_number() OVER (PARTITION BY r.root, r.root_pos ORDER BY r.depth, t.n, t.c, t.pos) AS BIGINT) AS position, t.conv AS conv_id, t.turn, t.role, t.body,
+  u.conv AS parent_conv_id, u.turn AS parent_turn, r.depth, t.link, CAST(t.n_quotes AS BIGINT) AS n_quotes
+FROM tied t JOIN tree r USING (c, pos) LEFT JOIN tied u ON t.pc = u.c AND t.pp = u.pos"""

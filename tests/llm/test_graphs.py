@@ -97,3 +97,20 @@ def test_long_chains_and_awkward_messages(spark):
     assert {r["depth"] for r in got if r["conv_id"] == 9} == set(range(70))
     assert sorted(r["position"] for r in got if r["conv_id"] == 5) == [1, 2, 3]
     assert quotes.threads(df.limit(0)).count() == 0
+
+
+def test_threads_are_what_sql_says(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = MAIL + [(4, None, None, None), (4, 2, "u", ""), (4, 2, "u", ""), (None, 1, "u", "On Monday Bob wrote:\n> No idea.\nx"), (5, 0, "u", "> a\n\n> b\n\nA b"), (5, 1, "u", ">> a\n> A b\ntext"), (6, 0, "u", "No idea.\r\n\r\nSecond paragraph here.")]
+    rows += [(7, 0, "u", "> Second paragraph here.\nyes"), (7, 1, "u", "> yes\n> more\n> No idea.\nok")]
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con.register("conversations", frame)
+    r = con.execute(quotes.sql())
+    names = [c[0] for c in r.description]
+    want = sorted(map(repr, r.fetchall()))
+    df = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(repr(tuple(x[n] for n in names)) for x in df.collect()) == want
