@@ -18,7 +18,7 @@ SUFFIXES = tuple(f"{second}.{top}" for top, seconds in sorted(_SECOND_LEVEL.item
 _TRACKERS = ("_ga", "_hsenc", "_hsmi", "fbclid", "gclid", "igshid", "mc_eid", "mkt_tok", "msclkid", "ref_src", "yclid")
 #: Query keys that say where a click came from.
 TRACKING = "^(utm_.*|" + "|".join(_TRACKERS) + ")$"
-_SCHEME = "^[a-z][a-z0-9+.-]*://"
+_SCHEME = "^[a-z][-+.a-z0-9]*://"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -126,7 +126,7 @@ def jitter(seed: Column) -> Column:
     return (unit - 0.5) * 0.1
 
 
-# --- the same in DuckDB's SQL -----------------------------------------------------------------------
+# --- the same in DuckDB's SQL
 
 SQL_BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 

@@ -8,7 +8,7 @@ from attesta.functions import keys, stats
 from attesta.functions.keys import SUFFIXES
 
 _HOST = r"""regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(
-  regexp_replace(regexp_replace(lower(trim(coalesce(x, ''))), '^[a-z][a-z0-9+.-]*://', ''), '^//', ''), '^[^/?#]*', 0), '^.*@', ''), '^[^:]*', 0), '\\.+$', ''), '^www\\.', '')"""
+  regexp_replace(regexp_replace(lower(trim(coalesce(x, ''))), '^[a-z][-+.a-z0-9]*://', ''), '^//', ''), '^[^/?#]*', 0), '^.*@', ''), '^[^:]*', 0), '\\.+$', ''), '^www\\.', '')"""
 
 
 def register(spark: SparkSession) -> list[str]:

@@ -97,9 +97,9 @@ def feature_names(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(names.alias("features"))
 
 
-def split_kinds(columns: list[str]) -> tuple[list[str], list[str]]:
-    """Column names of page features and of company features."""
-    return [c for c in columns if c.startswith("page__")], [c for c in columns if c.startswith("company__")]
+def split_kinds(columns: list[str]) -> dict[str, list[str]]:
+    """Column names by kind: features of pages and of companies."""
+    return {kind: [c for c in columns if c.startswith(kind + "__")] for kind in ("page", "company")}
 
 
 def inheritance_violations(rows: DataFrame) -> DataFrame:

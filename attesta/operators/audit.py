@@ -118,7 +118,7 @@ def crosses_zero(low: Column, high: Column) -> Column:
     return (low <= 0) & (high >= 0)
 
 
-# --- delivery ----------------------------------------------------------------------------------------
+# --- delivery
 
 
 def feature_in(text: Column) -> Column:

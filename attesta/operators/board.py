@@ -104,7 +104,7 @@ def card_state(u: Column) -> Column:
     return F.struct(status.alias("status"), missing.alias("missing"))
 
 
-# --- lifecycle ---------------------------------------------------------------------------------------
+# --- lifecycle
 
 
 def can_move(now: Column, to: Column, published: Column) -> Column:

@@ -91,12 +91,11 @@ def baseline(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def tau0(n: int, d: int) -> float:
     """The horseshoe's global scale, from the effective N and a tenth of the features."""
-    p0 = max(1.0, 0.1 * d)
-    p0 = min(p0, d - 0.5) if d > 1 else 0.5
-    return p0 / (d - p0) * PRIOR_SIGMA / np.sqrt(max(n, 1))
+    few = 0.5 if d <= 1 else min(d - 0.5, max(1.0, d / 10))
+    return few / (d - few) * PRIOR_SIGMA / np.sqrt(max(n, 1))
 
 
-def horseshoe_samples(x: np.ndarray, y: np.ndarray, scale: float, draws: int = 500, tune: int = 500, chains: int = 2, seed: int = 0) -> np.ndarray:
+def horseshoe_samples(x: np.ndarray, y: np.ndarray, scale: float, draws: int, tune: int, chains: int, seed: int) -> np.ndarray:
     """Posterior draws of the weights under the regularized horseshoe.
 
     Elliptical slices move the standard normals and the intercept; slices along each logarithm move
@@ -167,7 +166,7 @@ def horseshoe_samples(x: np.ndarray, y: np.ndarray, scale: float, draws: int = 5
     return np.array(out)
 
 
-def horseshoe(pdf: pd.DataFrame, draws: int = 500, tune: int = 500, chains: int = 2, seed: int = 0) -> pd.DataFrame:
+def horseshoe(pdf: pd.DataFrame, seed: int = 0, chains: int = 2, tune: int = 500, draws: int = 500) -> pd.DataFrame:
     """One group's case-control fit: 5, 50 and 95 per cent points; noise if they span 0."""
     pdf = pdf.sort_values(["page_url", "company_domain"]).reset_index(drop=True)
     names, x = _matrix(pdf)

@@ -10,7 +10,7 @@ from attesta.schemas import DETERMINISTIC, OFFPAGE_FIELDS, SUBJECTIVE
 
 POOL_CAP, COVERAGE, REAL_RATIO, PACK_QUERIES = 10, 0.5, 0.4, 50
 REAL_SOURCES = ("serp", "reddit", "customer")
-AGREED = ("direct_answer_first", "stats_density", "citation_density", "quote_density", "listicle_vs_prose")
+AGREED = tuple(sorted(SUBJECTIVE))
 
 
 def candidate_pool(results: DataFrame, most: int = POOL_CAP) -> DataFrame:
@@ -99,7 +99,7 @@ def stamped(versions: Column, source: str, version: str, populated: Column) -> C
     return F.when(populated, F.map_concat(other, F.create_map(F.lit(source), F.lit(version)))).otherwise(v)
 
 
-# --- coverage ----------------------------------------------------------------------------------------
+# --- coverage
 
 
 def _text(c: str) -> Column:
@@ -205,7 +205,7 @@ def vertical_pack(queries: DataFrame, targets: DataFrame, vertical: str, min_que
     return r.withColumn("issues", F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull()))
 
 
-# --- agreement ---------------------------------------------------------------------------------------
+# --- agreement
 
 
 def kappa(rated: DataFrame, by: list[str], predicted: str = "predicted", gold: str = "gold") -> DataFrame:

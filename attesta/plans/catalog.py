@@ -36,7 +36,7 @@ def r6(name: str, c=None):
 LOW, HIGH = stats.sql_wilson("c", "k")
 
 
-# --- runs ----------------------------------------------------------------------------------------------
+# --- runs
 
 
 @query(f"""WITH {RUNS}, g AS (
@@ -118,7 +118,7 @@ def experiment_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("engine", "window_tag").agg(F.count("*").alias("n"), F.count_if("cited").alias("n_cited"), F.count_if(F.col("arm") == "treatment").alias("n_treatment"), F.count_if(F.col("arm") == "control").alias("n_control"))
 
 
-# --- keys and pages ------------------------------------------------------------------------------------
+# --- keys and pages
 
 
 @query(f"SELECT page_id, {keys.sql_domain('url')} AS domain, {keys.sql_url('url')} AS key, {keys.sql_domain('url')} = url AS is_key FROM pages")
@@ -171,7 +171,7 @@ def html_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda d: F.date_format(F.date_sub(F.lit("2026-01-31").cast("date"), d), "yyyy-MM-dd")
     cells = F.repeat(F.lit("<TH scope=col>h</th>"), (n % 5).cast("int"))
     body = F.concat(
-        F.when(n % 2 == 0, F.lit("<script type='application/ld+json'>{}</script>")).otherwise(""),
+        F.when(n % 2 == 0, F.lit('<script type="application/ld+json" id="x">{}</script>')).otherwise(""),
         F.when(n % 3 == 0, F.concat(F.lit('<meta property="article:modified_time" content="'), day(n), F.lit('">'))).when(n % 3 == 1, F.concat(F.lit("<time datetime='"), day(n + 1), F.lit("'>x</time>"))).otherwise(""),
         F.lit("<table><tr>"), cells, F.lit("</tr><tr><td>1</td></tr>\n<tr><td>2</td></tr></table>"),
     )
@@ -229,7 +229,7 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("query_id", "engine", "page_url", "company_domain", "label_majority")
 
 
-# --- joins, dedupe, caps -------------------------------------------------------------------------------
+# --- joins, dedupe, caps
 
 
 def _shops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +346,7 @@ def page_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.cache_counts(replay.cached(req, cache, 100 * day))
 
 
-# --- board ---------------------------------------------------------------------------------------------
+# --- board
 
 
 @query(f"""WITH {RUNS} SELECT engine, count(*) FILTER (cited) AS cited, count(*) AS total, array_to_string(list_sort(list(DISTINCT source_domain) FILTER (cited)), ',') AS sources FROM runs GROUP BY engine""")
@@ -438,7 +438,7 @@ def upserted_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upserted_companies(s).select("domain", "name", "nation")
 
 
-# --- coverage and agreement ----------------------------------------------------------------------------
+# --- coverage and agreement
 
 
 @query("""SELECT 'site' || n_nationkey || '.com' AS domain, round((CAST(n_nationkey % 3 <> 0 AS INT) + CAST(n_nationkey % 4 <> 0 AS INT) + 1) / 3.0, 6) AS coverage_score,
@@ -473,7 +473,7 @@ def tolerance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sourcing.within_tolerance(x, ["l_returnflag"], 10.0).select("l_returnflag", "n", r6("within"))
 
 
-# --- modelling, design, lift ---------------------------------------------------------------------------
+# --- modelling, design, lift
 
 
 @query(f"""WITH {tables.wide_runs_sql()} SELECT engine, page_url, round(avg(p_cited), 6) AS p_cited, round(greatest(0, least(1, avg(ci_high)) - greatest(0, avg(ci_low))), 6) AS ci_width FROM measurements GROUP BY ALL""")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from attesta.schemas import OFFPAGE_FIELDS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,8 +46,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(
         F.concat(F.lit("site"), n.cast("string"), F.lit(".com")).alias("domain"), F.col("n_name").alias("name"),
         F.struct(some(3, F.lit("small")).alias("size"), F.lit(None).cast("string").alias("funding_stage"), some(3, n / 10.0).alias("headcount_growth"), F.lit(None).cast("double").alias("hiring_velocity"), F.array().cast("array<string>").alias("tech_stack")).alias("firmographics"),
-        F.struct(*[(some(4, (n * (i + 1) % 11).cast("double")) if i < 6 else F.lit(None).cast("double")).alias(f) for i, f in enumerate((
-            "thirdparty_mentions", "reddit_presence", "g2_presence", "wikipedia_presence", "review_site_presence", "brand_search_volume", "backlink_density", "entity_cooccurrence"))]).alias("offpage"),
+        F.struct(*[(some(4, (n * (i + 1) % 11).cast("double")) if i < 6 else F.lit(None).cast("double")).alias(f) for i, f in enumerate(OFFPAGE_FIELDS)]).alias("offpage"),
         F.struct(F.concat(F.lit("cat"), (n % 2).cast("string")).alias("category"), some(5, F.lit("icp")).alias("icp"), F.lit("").alias("positioning"), F.lit("x").alias("what_you_are")).alias("understanding"),
         F.array(F.lit("offpage_missing")).alias("coverage_flags"), n.cast("long").alias("_seq"),
     )

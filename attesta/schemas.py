@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 ENGINES = ("chatgpt", "perplexity", "gemini")
 VERDICTS = ("worked", "no_effect", "inconclusive")
-STATUSES = ("designing", "awaiting_publish", "running", "complete", "expired")
+STATUSES = ("awaiting_publish", "complete", "designing", "expired", "running")
 
 FIRMOGRAPHICS = "struct<size:string,funding_stage:string,headcount_growth:double,hiring_velocity:double,tech_stack:array<string>>"
-OFFPAGE_FIELDS = (
-    "thirdparty_mentions", "reddit_presence", "g2_presence", "wikipedia_presence",
-    "review_site_presence", "brand_search_volume", "backlink_density", "entity_cooccurrence",
-)
+OFFPAGE_FIELDS = tuple("backlink_density brand_search_volume entity_cooccurrence g2_presence reddit_presence review_site_presence thirdparty_mentions wikipedia_presence".split())
 OFFPAGE = "struct<" + ",".join(f"{f}:double" for f in OFFPAGE_FIELDS) + ">"
 UNDERSTANDING = "struct<category:string,icp:string,positioning:string,what_you_are:string>"
 DETERMINISTIC = ("schema_markup", "comparison_table", "word_count", "heading_structure", "freshness_days", "query_term_coverage")
-SUBJECTIVE = ("direct_answer_first", "stats_density", "citation_density", "quote_density", "listicle_vs_prose")
+SUBJECTIVE = ("citation_density", "direct_answer_first", "listicle_vs_prose", "quote_density", "stats_density")
 _BOOLEAN = {"schema_markup", "comparison_table", "direct_answer_first"}
 CONTENT = "struct<" + ",".join(f"{f}:{'boolean' if f in _BOOLEAN else 'double'}" for f in DETERMINISTIC + SUBJECTIVE) + ">"
 PAIR = "struct<treatment_page:string,control_page:string,match_covars:map<string,string>>"

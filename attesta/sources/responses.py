@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions import keys
+from attesta.schemas import SUBJECTIVE
 
 _ANNOTATION = "struct<type:string,url:string,title:string>"
 RESPONSE = f"struct<model:string,output:array<struct<type:string,content:array<struct<type:string,text:string,annotations:array<{_ANNOTATION}>>>>>>"
@@ -65,7 +66,7 @@ def subjective_features(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
     s = F.struct(flag.alias("direct_answer_first"), number("stats_density").alias("stats_density"), number("citation_density").alias("citation_density"), number("quote_density").alias("quote_density"), form.alias("listicle_vs_prose"))
     got = df.withColumn("subjective", s)
     whole = F.lit(True)
-    for f in ("direct_answer_first", "stats_density", "citation_density", "quote_density", "listicle_vs_prose"):
+    for f in SUBJECTIVE:
         whole = whole & F.col(f"subjective.{f}").isNotNull()
     return got.where(whole), got.where(~whole).drop("subjective")
 

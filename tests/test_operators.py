@@ -1,5 +1,7 @@
 """Operators on small tables with known answers."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,7 +64,11 @@ def test_labelled_rows_and_retagging(spark):
     assert {(r["domain"], r["page_url"]) for r in measure.citations_to_pages(cites, pages).collect()} == {("a.com", "a.com/first"), ("z.com", None)}
 
 
-RAW = '{"model":"m","output":[{"type":"web_search_call"},{"type":"message","content":[{"type":"output_text","text":"a ","annotations":[{"type":"url_citation","url":"https://x.com/1"},{"type":"other","url":"n"},{"type":"url_citation","url":"https://x.com/1"},{"type":"url_citation","url":"https://www.y.co.uk/2"}]},{"type":"refusal","text":"no"},{"type":"output_text","text":"b"}]}]}'
+def part(text, *urls, kind="output_text", mark="url_citation"):
+    return {"text": text, "type": kind, "annotations": [{"url": u, "type": mark if u != "n" else "other"} for u in urls]}
+
+
+RAW = json.dumps({"output": [{"type": "web_search_call"}, {"content": [part("a ", "https://x.com/1", "n", "https://x.com/1", "https://www.y.co.uk/2"), part("no", kind="refusal"), part("b")], "type": "message"}], "model": "m"})
 
 
 def test_responses(spark):
@@ -73,7 +79,7 @@ def test_responses(spark):
     assert sorted(len(r["companies"]) for r in ok.collect()) == [1, 2] and bad.count() == 1
     s = frame(spark, [('x {"direct_answer_first": true, "stats_density": "0.5", "citation_density": 1, "quote_density": 0, "listicle_vs_prose": "mixed"} y',), ('{"direct_answer_first": "maybe"}',), (None,)], "raw string")
     ok, bad = responses.subjective_features(s, "raw")
-    assert tuple(ok.first()["subjective"]) == (True, 0.5, 1.0, 0.0, 0.5) and bad.count() == 2
+    assert ok.first()["subjective"].asDict() == dict(direct_answer_first=True, listicle_vs_prose=0.5, stats_density=0.5, quote_density=0.0, citation_density=1.0) and bad.count() == 2
     u = frame(spark, [('{"category":" c ","icp":"i","positioning":"p","what_you_are":"w","card":["one","one"]}',), ('{"category":"c"}',)], "raw string")
     ok, bad = responses.understanding(u, "raw")
     assert ok.first()["card"] == ["one", "one", "w", "c"] and bad.count() == 1
@@ -140,7 +146,7 @@ def test_company_layer_and_battlefield(spark):
     d = frame(spark, [("a.com",)], "domain string")
     v = frame(spark, [("a.com", "1", "NaN", "2", "x")], "domain string, thirdparty_mentions string, g2_presence string, review_site_presence string, backlink_density string")
     o = sourcing.merged_offpage(d, v, frame(spark, [], "domain string, wikipedia_presence double, brand_search_volume double, entity_cooccurrence double"), frame(spark, [("a.com", 0.0)], "domain string, reddit_presence double"))
-    assert tuple(o.first()["offpage"]) == (1.0, 0.0, None, None, 2.0, None, None, None)
+    assert {k: v for k, v in o.first()["offpage"].asDict().items() if v is not None} == {"thirdparty_mentions": 1.0, "reddit_presence": 0.0, "review_site_presence": 2.0}
     assert sourcing.feature_vector(o).count() == 8
 
 
