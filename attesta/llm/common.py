@@ -74,7 +74,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# --- vectorised words of an Arrow string array --------------------------------------------------
+# --- vectorised words of an Arrow string array
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)

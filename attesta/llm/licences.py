@@ -35,8 +35,11 @@ NOTICES: dict[str, list[str]] = {
     "mit": [
         "Released under the MIT License.",
         "This software is licensed under the MIT license.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "a copy of this software and associated documentation files",
+        "to deal in the Software without restriction, including the rights to use",
+        "The above copyright notice and this permission notice shall be included",
+        "shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
     "gpl": [

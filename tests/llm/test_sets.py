@@ -216,3 +216,36 @@ def test_slots_are_stable_and_maps_are_versioned(spark, odd, tmp_path):
     with pytest.raises(Exception, match="exists"):
         sharding.write_map(spark, str(tmp_path / "m"), 2, [0])
     assert sharding.shard(odd.limit(0), folder=str(tmp_path / "e")).count() == 0
+
+
+def naive_rebalance(assigned, sizes, shards, tolerance=0.1):
+    """The same rule, looking at everything again for every move."""
+    out, stuck = list(assigned), set()
+    while True:
+        load = [sum(b for b, i in zip(sizes, out) if i == s) for s in range(shards)]
+        over = [s for s in range(shards) if load[s] > (1 + tolerance) * sum(sizes) / shards and s not in stuck]
+        if not over:
+            return out
+        full = sorted(over, key=lambda s: (-load[s], s))[0]
+        low = sorted(range(shards), key=lambda s: (load[s], s))[0]
+        fits = [k for k, i in enumerate(out) if i == full and sizes[k] > 0 and load[low] + sizes[k] < load[full]]
+        if fits:
+            out[sorted(fits, key=lambda k: (-sizes[k], k))[0]] = low
+        else:
+            stuck.add(full)
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    import hashlib
+
+    rng = np.random.default_rng(9)
+    docs = [(int(k), "x" * int(n)) for k, n in zip(rng.permutation(400), rng.pareto(1.2, 400) * 50)]
+    got = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string"), folder=str(tmp_path / "s"), slots=64, shard_bytes=4000).collect()
+    slot = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 64
+    sizes = [0] * 64
+    for k, t in docs:
+        sizes[slot(k)] += len(t)
+    shards = min(64, -(-sum(sizes) // 4000))
+    first = [s * shards // 64 for s in range(64)]
+    want = naive_rebalance(first, sizes, shards)
+    assert {(r["doc_id"], r["slot"], r["first_shard"], r["shard"], r["n_bytes"]) for r in got} == {(k, slot(k), first[slot(k)], want[slot(k)], len(t)) for k, t in docs}
