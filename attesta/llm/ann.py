@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import checkpointed, quoted
+from attesta.llm.common import checkpointed, hash_sample, quoted
 
 NEIGHBOURS = 10
 #: Lists a square root of the vectors.
@@ -159,7 +159,7 @@ def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest
     k = max(1, min(n, int(lists * math.sqrt(n))))
     if k * width * 4 > MOST_BYTES:
         raise ValueError("more centroids than may be broadcast; lower `lists`")
-    seeds = rows.orderBy(F.xxhash64("k", F.lit(SEED)), "k").limit(k).collect()
+    seeds = hash_sample(rows, "k", k, SEED, n).collect()
     c = np.array([r["v"] for r in seeds], np.float32)
 
     def moved(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
