@@ -23,7 +23,7 @@ LISTS = 2.0
 #: A list longer than this many times the average is split.
 LONGEST = 2.0
 #: A vector is posted to lists, and a query visits lists, up to so many times the nearest centroid's distance.
-POST_RATIO, VISIT_RATIO = 1.06, 1.1
+POST_RATIO, VISIT_RATIO = 1.06, 1.12
 #: Copies of a vector, and centroids that a walk keeps for the ratio to choose from, at most.
 MOST_POSTS, MOST_VISITS = 8, 96
 #: A query visits lists that hold this many times the neighbours asked for, whatever the ratio.
