@@ -1,176 +1,185 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined units of lines.
 
-Every line is hashed; a rolling hash over the last few line hashes decides whether a chunk ends
-there, so boundaries depend on nearby lines only and come back in step after an insertion. A chunk
-of several lines that occurs anywhere before, byte for byte, is removed; its first occurrence, by
-key and place, stays.
+A unit is a line, with the blank lines after it; a long line is cut into pieces where a word's hash is
+the least of its neighbourhood, so cuts depend on nearby words only and come back in step after an
+insertion. Every two adjacent units are hashed together. Where such a pair occurs anywhere before, byte
+for byte, both its units are removed; the first occurrence of every unit, by key and place, stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import buffers, mix64, narrow, prefix_hashes, quoted, span_hashes, steps, unused
+from attesta.llm.common import NOT_SPACE_BYTE, buffers, narrow, prefix_hashes, quoted, span_hashes, spans, steps
 
-#: Line hashes that the rolling hash covers.
-WINDOW = 2
-#: A boundary falls after one line in so many.
-DIVISOR = 4
-#: Chunks of fewer lines are never removed.
-LEAST_LINES = 2
-#: A chunk ends here at the latest.
-MOST_LINES = 64
+#: A line is cut after a word whose hash is less than those of so many words on either side.
+WINDOW = 3
+#: A piece of a line ends after so many words at the latest.
+MOST_WORDS = 32
 
 
-def lines(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash) of each line of non-null rows, and the bytes. A line includes its '\\n'."""
+def chunks(array: pa.Array, window: int = WINDOW, most: int = MOST_WORDS):
+    """Per unit: row, number in its row, words, byte span, end without blanks, and a 64-bit hash; then the bytes."""
     offsets, data = buffers(array)
-    n = len(data)
-    ends = np.flatnonzero(data == 10) + 1
-    stops = offsets[1:][np.diff(offsets) > 0]
-    end = np.union1d(ends, stops)
-    start = np.empty_like(end)
-    if len(end):
-        start[0] = 0
-        start[1:] = end[:-1]
-    row = np.searchsorted(offsets, start, side="right") - 1
-    sums = prefix_hashes(data) if n else np.zeros(1, np.uint64)
-    bare = end - ((data[end - 1] == 10) if n else 0)
-    return row, start, end, span_hashes(sums, start, bare), data
-
-
-def boundaries(row: np.ndarray, h: np.ndarray, window: int = WINDOW, divisor: int = DIVISOR, most: int = MOST_LINES) -> np.ndarray:
-    """True for each line that ends a chunk: by the rolling hash, at a row's end, or at the length limit."""
-    n = len(row)
-    if not n:
-        return np.zeros(0, bool)
-    first = np.searchsorted(row, row, side="left")
-    at = np.arange(n)
-    roll = np.zeros(n, np.uint64)
-    for j in range(window):
-        inside = at - j >= first
-        roll += np.where(inside, mix64(h[np.maximum(at - j, 0)] + np.uint64(j + 1)), np.uint64(0))
-    end = (mix64(roll) % np.uint64(divisor) == 0) & (at - first + 1 >= window)
-    end[:-1] |= row[1:] != row[:-1]
-    end[-1] = True
-    cut = np.flatnonzero(end)
-    begin = np.concatenate([[0], cut[:-1] + 1])
-    for b, e in zip(begin[cut - begin >= most], cut[cut - begin >= most]):
-        end[np.arange(b + most - 1, e, most)] = True
-    return end
-
-
-def chunks(array: pa.Array, **how):
-    """Per chunk: row, number in its row, lines, byte span, and two 64-bit hashes; then the bytes."""
-    row, start, end, h, data = lines(array)
-    last = np.flatnonzero(boundaries(row, h, **how))
-    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    crow = row[last]
-    number = np.arange(len(last)) - np.searchsorted(crow, crow, side="left")
-    s, e = start[first], end[last]
-    bare = e - (data[e - 1] == 10) if len(last) else e
     sums = prefix_hashes(data) if len(data) else np.zeros(1, np.uint64)
-    one = span_hashes(sums, s, bare)
-    return crow, number, last - first + 1, s, e, bare, one, data
-
-
-def _hashed(batches, least: int, how: dict):
-    schema = pa.schema([("k", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("size", pa.int64())])
+    row, start, end = spans(offsets, data, NOT_SPACE_BYTE)
+    n = len(row)
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    opens = np.ones(n, bool)
+    opens[1:] = (row[1:] != row[:-1]) | (feeds[start[1:]] != feeds[start[:-1]])
+    line = np.cumsum(opens) - 1
+    least = np.zeros(n, bool)
+    if n > 2 * window:
+        h, mid = span_hashes(sums, start, end), slice(window, n - window)
+        least[mid] = line[: n - 2 * window] == line[2 * window :]
+        for j in range(1, window + 1):
+            least[mid] &= (h[mid] < h[window - j : n - window - j]) & (h[mid] < h[window + j : n - window + j])
+    cut = opens.copy()
+    cut[1:] |= least[:-1]
+    first = np.flatnonzero(cut)
+    for b, e in zip(first, np.append(first[1:], n)):
+        if e - b > most:
+            cut[b:e:most] = True
+    first = np.flatnonzero(cut)
+    # a line's first unit has the blanks before it, a row's first one all that stands before
+    line_start = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    head = np.where(opens[first], np.maximum(line_start[feeds[start[first]]], offsets[row[first]]), start[first]) if n else first
+    lead = np.ones(len(first), bool)
+    lead[1:] = row[first[1:]] != row[first[:-1]]
+    head[lead] = offsets[row[first[lead]]]
+    words = np.diff(np.append(first, n))
+    bare = end[np.append(first[1:], n) - 1] if n else first
+    urow = row[first]
+    blank = np.setdiff1d(np.flatnonzero(np.diff(offsets) > 0), urow)
+    urow, head, bare = np.concatenate([urow, blank]), np.concatenate([head, offsets[blank]]), np.concatenate([bare, offsets[blank]])
+    words = np.concatenate([words, np.zeros(len(blank), np.int64)])
+    order = np.argsort(urow, kind="stable")
+    urow, head, bare, words = urow[order], head[order], bare[order], words[order]
+    stop = np.append(head[1:], len(data)) if len(head) else head
+    number = np.arange(len(urow)) - np.searchsorted(urow, urow, side="left")
+    return urow, number, words, head, stop, bare, span_hashes(sums, head, bare), data
+
+
+def _hashed(batches, how: dict):
+    """The hash of every two adjacent units, with the number of the first."""
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("i", pa.int32())])
     for batch in batches:
         for at, texts in steps(batch.column(1)):
-            row, number, n, s, _, bare, h, _ = chunks(texts, **how)
-            pick = (n >= least) & (bare > s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[pick] + at)), pa.array(number[pick].astype(np.int32)), pa.array(h[pick].view(np.int64)), pa.array((bare - s)[pick])], schema=schema
-            )
+            row, number, _, s, _, bare, _, data = chunks(texts, **how)
+            two = np.flatnonzero(row[1:] == row[:-1])
+            h = span_hashes(prefix_hashes(data), s[two], bare[two + 1]) if len(two) else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row[two] + at)), pa.array(number[two].astype(np.int32))], schema=schema)
 
 
-def _texts(batches, how: dict):
-    """The bytes of the listed chunks."""
-    schema = pa.schema([("k", pa.int64()), ("i", pa.int32()), ("h", pa.int64()), ("chunk", pa.binary())])
+def _runs(batches):
+    """Runs of repeated pairs whose first occurrences stand in a row too: their first unit and how many units."""
     for batch in batches:
-        wanted = batch.column(2)
-        for at, texts in steps(batch.column(1)):
-            row, number, _, s, _, bare, h, data = chunks(texts, **how)
-            want = wanted.slice(at, len(texts))
-            flat = np.asarray(want.flatten())
-            lengths = np.diff(np.asarray(want.offsets))
-            ask = np.repeat(np.arange(len(texts)), lengths).astype(np.int64) * (1 << 32) + flat
-            hit = np.flatnonzero(np.isin(row.astype(np.int64) * (1 << 32) + number, ask))
+        pairs = batch.column(1)
+        flat = pairs.flatten()
+        i, k0, i0 = (flat.field(j).to_numpy() for j in range(3))
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(pairs.offsets)))
+        new = np.ones(len(i), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (i[1:] != i[:-1] + 1) | (k0[1:] != k0[:-1]) | (i0[1:] != i0[:-1] + 1)
+        at = np.flatnonzero(new)
+        m = np.diff(np.append(at, len(i))) + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at])), pa.array(i[at]), pa.array(m.astype(np.int32)), pa.array(k0[at]), pa.array(i0[at])], names=["k", "i", "m", "k0", "i0"])
+
+
+def _texts(batches, field: str, how: dict):
+    """The bytes of the runs asked for."""
+    schema = pa.schema([("k", pa.int64()), ("i", pa.int32()), ("m", pa.int32()), ("k0", pa.int64()), ("i0", pa.int32()), ("chunk", pa.binary())])
+    for batch in batches:
+        for at, texts in steps(batch.column(1).field(field).cast(pa.string())):
+            row, _, _, s, _, bare, _, data = chunks(texts, **how)
+            want = batch.column(2).slice(at, len(texts))
+            flat = want.flatten()
+            i, m, k0, i0 = (flat.field(j).to_numpy() for j in range(4))
+            doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(want.offsets)))
+            first = np.searchsorted(row, doc, side="left") + i
+            ok = np.flatnonzero(first + m <= np.searchsorted(row, doc, side="right"))
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row[hit] + at)), pa.array(number[hit].astype(np.int32)), pa.array(h[hit].view(np.int64)), pa.array([raw[a:b] for a, b in zip(s[hit], bare[hit])], pa.binary())], schema=schema
+                [batch.column(0).take(pa.array(doc[ok] + at)), *(pa.array(x[ok]) for x in (i, m, k0, i0)), pa.array([raw[s[a] : bare[b]] for a, b in zip(first[ok], (first + m - 1)[ok])], pa.binary())], schema=schema
             )
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_LINES, **how) -> DataFrame:
-    """(k, gone): each document with chunks to remove, and their numbers.
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """(k, d): the key and the whole row, in one exchange that both joins to the text use."""
+    return docs.where(quoted(key).cast("long").isNotNull()).select(quoted(key).cast("long").alias("k"), F.struct(*[quoted(c) for c in docs.columns]).alias("d")).repartition("k")
+
+
+def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(k, gone): each document with units to remove, as runs (first unit, units).
 
-    Hashes and sizes alone find the chunks that occur more than once; only those chunks' bytes are
-    then sent to be compared with the first occurrence's.
+    Hashes alone find the pairs of units that occur more than once; only their bytes, each run of
+    them once, are then sent to be compared with the first occurrence's.
     """
     rows = narrow(docs, key, text).where("k is not null and t is not null")
-    hashed = rows.mapInArrow(lambda b: _hashed(b, least, how), "k long, i int, h long, size long").distinct()
-    first = hashed.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(F.struct("k", "i")).alias("first")).where("n > 1").select("h", "size", "first")
-    member = hashed.join(first, ["h", "size"]).groupBy("k").agg(F.collect_list("i").alias("wanted"))
-    sent = rows.join(member, "k").select("k", "t", "wanted").mapInArrow(lambda b: _texts(b, how), "k long, i int, h long, chunk binary")
-    lead = sent.join(first.select(F.col("first.k").alias("k"), F.col("first.i").alias("i"), "h", "size"), ["k", "i", "h"])
-    lead = lead.where(F.octet_length("chunk") == F.col("size")).select("h", "size", F.col("k").alias("k0"), F.col("i").alias("i0"), F.col("chunk").alias("c0"))
-    same = sent.withColumn("size", F.octet_length("chunk").cast("long")).join(lead, ["h", "size"])
-    gone = same.where((F.col("chunk") == F.col("c0")) & ~((F.col("k") == F.col("k0")) & (F.col("i") == F.col("i0"))))
-    return gone.groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("gone"))
+    same = Window.partitionBy("h").orderBy("k", "i")
+    pairs = rows.mapInArrow(lambda b: _hashed(b, how), "h long, k long, i int").select("k", "i", F.first("k").over(same).alias("k0"), F.first("i").over(same).alias("i0"))
+    later = pairs.where("k != k0 or i != i0").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("i", "k0", "i0"))).alias("pairs"))
+    runs = later.mapInArrow(_runs, "k long, i int, m int, k0 long, i0 int")
+    ask = F.explode(F.array(F.struct("k", "i", "m", "k0", "i0"), F.struct(F.col("k0").alias("k"), F.col("i0").alias("i"), "m", "k0", "i0")))
+    asked = runs.select(ask.alias("a")).select("a.*").groupBy("k").agg(F.collect_set(F.struct("i", "m", "k0", "i0")).alias("wanted"))
+    sent = keyed.join(asked, "k").select("k", "d", "wanted").mapInArrow(lambda b: _texts(b, text, how), "k long, i int, m int, k0 long, i0 int, chunk binary")
+    lead = sent.where("k = k0 and i = i0").select("k0", "i0", "m", F.col("chunk").alias("c0"))
+    gone = sent.where("k != k0 or i != i0").join(lead, ["k0", "i0", "m"]).where(F.col("chunk") == F.col("c0"))
+    return gone.groupBy("k").agg(F.collect_set(F.struct("i", "m")).alias("gone"))
 
 
 def without(text: pa.Array, gone: pa.Array, **how) -> pa.Array:
-    """Each text without the chunks listed by number; null stays null."""
+    """Each text without the runs of units listed; null stays null."""
     out: list = []
     for at, texts in steps(text):
-        drop = gone.slice(at, len(texts)).to_pylist()
+        lists = gone.slice(at, len(texts)).to_pylist()
         row, number, _, s, e, _, _, data = chunks(texts, **how)
         raw = data.tobytes()
-        spans: dict[int, list] = {}
-        hit = np.isin(row, [i for i, g in enumerate(drop) if g])
-        for r, n, a, b in zip(row[hit], number[hit], s[hit], e[hit]):
-            if n not in drop[r]:
-                spans.setdefault(int(r), []).append(raw[a:b])
         for r, x in enumerate(texts):
-            if not drop[r]:
+            if not lists[r]:
                 out.append(x.as_py())
-            else:
-                rest = b"".join(spans.get(r, ())).decode()
-                out.append(rest[:-1] if rest.endswith("\n") and not x.as_py().endswith("\n") else rest)
+                continue
+            drop = {j for g in lists[r] for j in range(g["i"], g["i"] + g["m"])}
+            kept: list[bytes] = []
+            for u in range(*np.searchsorted(row, [r, r + 1]).tolist()):
+                part = raw[s[u] : e[u]]
+                if int(number[u]) not in drop:
+                    kept.append(part)
+                elif kept and not kept[-1].endswith(b"\n") and part.endswith(b"\n"):  # the rest of its line stays
+                    kept[-1] = kept[-1].rstrip() + b"\n"
+            rest = b"".join(kept).decode()
+            out.append(rest.rstrip() if drop and rest and not x.as_py()[-1].isspace() else rest)
     return pa.array(out, pa.string())
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None, **how) -> DataFrame:
-    """The rows, with all their columns, without chunks that occur before; emptied documents go.
+    """The rows, with all their columns, without units that occur before beside the same unit; emptied documents go.
 
     ``n_chars`` names a column that is set to the new length where the text changes. Rows with a
     null key or text stay as they are. Rows that repeat a key and text are one document; where texts
     differ, each loses the numbers removed from any of them. Whole texts count. An empty table gives
     an empty one.
     """
-    lists = repeated(docs, key, text, **how)
-    boundary = {k: v for k, v in how.items() if k != "least"}
+    keyed = _keyed(docs, key)
+    lists = repeated(docs, keyed, key, text, **how)
 
     @F.arrow_udf("string")
     def rest(t: pa.Array, g: pa.Array) -> pa.Array:
-        return without(t, g, **boundary)
+        return without(t, g, **how)
 
-    k, g = unused(docs, "k"), unused(docs, "gone")
-    joined = docs.join(lists.select(F.col("k").alias(k), F.col("gone").alias(g)), quoted(key).cast("long") == F.col(k), "left")
-    changed = F.col(g).isNotNull()
-    new = unused(docs, "new")
-    out = joined.withColumn(new, F.when(changed, rest(F.when(changed, quoted(text)), F.col(g))).otherwise(quoted(text))).where(~changed | (F.length(F.trim(F.col(new))) > 0))
+    joined = keyed.join(lists, "k", "left").select("d", "gone")
+    changed = F.col("gone").isNotNull()
+    was = F.col("d").getField(text)
+    joined = joined.withColumn("new", F.when(changed, rest(F.when(changed, was.cast("string")), F.col("gone"))).otherwise(was)).where(~changed | (F.length(F.trim(F.col("new"))) > 0))
     columns = []
     for c in docs.columns:
+        own = F.col("d").getField(c)
         if c == text:
-            columns.append(F.col(new).alias(c))
+            columns.append(F.col("new").alias(c))
         elif c == n_chars:
-            columns.append(F.when(changed, F.length(F.col(new)).cast(docs.schema[c].dataType)).otherwise(quoted(c)).alias(c))
+            columns.append(F.when(changed, F.length(F.col("new")).cast(docs.schema[c].dataType)).otherwise(own).alias(c))
         else:
-            columns.append(quoted(c))
-    return out.select(*columns)
+            columns.append(own.alias(c))
+    return joined.select(*columns).unionByName(docs.where(quoted(key).cast("long").isNull()))

@@ -135,6 +135,24 @@ def _chunks(text):
     return [data.tobytes()[a:z] for a, z in zip(s, bare)]
 
 
+def test_shared_passages_in_other_documents_go(spark):
+    """A shared paragraph of one line, a passage within a line, and a few short lines, each in otherwise other text."""
+    rng = np.random.default_rng(6)
+    own = lambda n: " ".join(f"w{rng.integers(0, 10**9)}" for _ in range(n))
+    line, inner, short = own(60), own(60), "\n".join(own(5) for _ in range(10))
+    texts = []
+    for shared in (line, inner, short):
+        for _ in range(2):
+            texts.append(f"{own(40)} {shared} {own(40)}" if shared is inner else f"{own(40)}\n{own(7)}\n{shared}\n{own(7)}\n{own(30)}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
+    for first, shared in ((0, line), (2, inner), (4, short)):
+        assert got[first] == texts[first]
+        left = set(got[first + 1].split())
+        rest = set(texts[first + 1].split()) - set(shared.split())
+        assert rest <= left and len(left & set(shared.split())) <= (0 if shared is not inner else 25)
+
+
 def test_equal_hashes_with_other_bytes_are_kept(spark, monkeypatch):
     """The bytes decide: with a hash that always collides nothing but true copies goes."""
     df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh")], "doc_id long, text string")
