@@ -4,6 +4,7 @@ Vectors are grouped by centroids that are refined over all of them and split unt
 longer than the average. A vector near a boundary is posted to several lists. The centroids, about
 as many as a few square roots of the vectors, are searched by best-first walks over an in-memory
 neighbour graph; a query visits the lists whose centroids are not much farther than the nearest one.
+How much is measured on a sample of the vectors, whose true neighbours one pass over the table finds.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ NEIGHBOURS = 10
 LISTS = 2.0
 #: A list longer than this many times the average is split.
 LONGEST = 2.0
-#: A vector is posted to lists, and a query visits lists, up to so many times the nearest centroid's distance.
+#: A vector is posted to lists, and a query visits lists, up to so many times the nearest centroid's distance;
+#: the latter at least, and as far as RECALL asks for.
 POST_RATIO, VISIT_RATIO = 1.06, 1.12
 #: Copies of a vector, and centroids that a walk keeps for the ratio to choose from, at most.
 MOST_POSTS, MOST_VISITS = 8, 96
 #: A query visits lists that hold this many times the neighbours asked for, whatever the ratio.
 ENOUGH = 8
+#: Share of the true neighbours of a sample of so many vectors that visiting must reach.
+RECALL, QUERIES = 0.96, 400
 ROUNDS = 3
 DEGREE, BEAM = 24, 48
 SEED = 1
@@ -207,6 +211,54 @@ def centroids(rows: DataFrame, width: int, n: int, lists: float = LISTS, longest
     return c, count
 
 
+def _truth(rows: DataFrame, width: int, q: np.ndarray, ids: np.ndarray, k: int) -> list:
+    """(i, v): each query's k true neighbours, by one pass over all vectors."""
+    qn = (q.astype(np.float64) ** 2).sum(axis=1)
+
+    def best(batches):
+        d0, i0, v0 = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0, width), np.float32)
+        for whole in batches:
+            for batch in _batches(whole):
+                x, own = _matrix(batch.column(1), width), batch.column(0).to_numpy()
+                d = qn[:, None] + (x.astype(np.float64) ** 2).sum(axis=1)[None] - 2 * q @ x.T
+                d[ids[:, None] == own[None]] = np.inf
+                top = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                d0, i0, v0 = np.hstack([d0, np.take_along_axis(d, top, 1)]), np.hstack([i0, own[top]]), np.concatenate([v0, x[top]], axis=1)
+                keep = np.argsort(d0, axis=1, kind="stable")[:, :k]
+                d0, i0, v0 = np.take_along_axis(d0, keep, 1), np.take_along_axis(i0, keep, 1), np.take_along_axis(v0, keep[:, :, None], 1)
+        r, s = np.nonzero(np.isfinite(d0))
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(d0[r, s]), pa.array(i0[r, s]), pa.array(list(v0[r, s]), pa.list_(pa.float32()))], names=["i", "d", "o", "v"])
+
+    found = rows.select("k", "v").mapInArrow(best, "i int, d double, o long, v array<float>")
+    return found.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "o", "v"))), 1, k).alias("b")).select("i", F.explode("b.v").alias("v")).collect()
+
+
+def visiting(rows: DataFrame, width: int, n: int, graph: Graph, sizes: np.ndarray, k: int, post_ratio: float, recall: float = RECALL) -> tuple[float, float]:
+    """The distance ratio, and the vectors in lists, up to which queries must visit lists to find ``recall`` of the neighbours.
+
+    Measured on a sample: for each true neighbour the nearest list that it is posted to counts. Where a
+    query is itself a centroid no ratio reaches another list, so there the vectors in nearer lists count.
+    """
+    sample = hash_sample(rows, "k", QUERIES, SEED + 1, n).collect()
+    q, ids = np.array([r["v"] for r in sample], np.float32), np.array([r["k"] for r in sample], np.int64)
+    truth = _truth(rows, width, q, ids, k)
+    if not truth:
+        return 1.0, 0.0
+    at, v = np.array([r["i"] for r in truth]), np.array([r["v"] for r in truth], np.float32)
+    d, i = graph.search(v, MOST_POSTS)
+    post = (i >= 0) & np.isfinite(d) & (d <= d[:, :1] * post_ratio + 1e-12)
+    far = np.sqrt(np.maximum(0, (q**2).sum(axis=1)[:, None] + graph.norm[None] - 2 * q @ graph.c.T))
+    need = np.where(post, far[at[:, None], i], np.inf).min(axis=1)
+    near = far.min(axis=1)[at]
+    order = np.argsort(far, axis=1, kind="stable")
+    sorted_far, held = np.take_along_axis(far, order, 1), np.cumsum(sizes[order], axis=1)
+    before = np.array([held[a, j - 1] if (j := np.searchsorted(sorted_far[a], x)) else 0 for a, x in zip(at, need)])
+    some = near > 1e-6
+    ratio = np.quantile(need[some] / near[some], recall, method="higher") if some.any() else 1.0
+    enough = np.quantile(before[~some], recall, method="higher") + 1 if (~some).any() else 0
+    return float(ratio) * (1 + 1e-6), float(enough)
+
+
 def nearest(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -231,6 +283,8 @@ def nearest(
         return rows.sparkSession.createDataFrame([], f"`{key}` long, `{other}` long, rank int, distance double")
     c, sizes = centroids(rows, width, n, lists)
     graph = Graph(c)
+    ratio, least = visiting(rows, width, n, graph, sizes, k, post_ratio)
+    ratio, least = max(visit_ratio, ratio), max(ENOUGH * k, least)
 
     def posted(batches):
         for whole in batches:
@@ -239,8 +293,8 @@ def nearest(
                 near = d[:, :1]
                 there = (i >= 0) & np.isfinite(d)
                 held = np.where(there, sizes[i], 0)
-                enough = held.cumsum(axis=1) - held >= ENOUGH * k
-                visit = there & ((d <= near * visit_ratio + 1e-12) | ~enough)
+                enough = held.cumsum(axis=1) - held >= least
+                visit = there & ((d <= near * ratio + 1e-12) | ~enough)
                 post = there & (d <= near * post_ratio + 1e-12) & (np.arange(d.shape[1])[None] < MOST_POSTS)
                 r, s = np.nonzero(visit | post)
                 yield pa.RecordBatch.from_arrays(

@@ -34,6 +34,22 @@ def test_recall_against_brute_force(spark):
     assert all(abs(dist - np.sqrt(d[i, n])) < 1e-4 for i in range(50) for n, dist in got[i].values())
 
 
+def test_recall_on_the_small_tables(spark):
+    for sf in ("sf0.01", "sf0.1"):
+        df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        own = sorted((r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect())
+        ids, x = np.array([k for k, _ in own]), np.array([v for _, v in own], float)
+        d = (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T
+        np.fill_diagonal(d, np.inf)
+        want = ids[np.argsort(d, axis=1)[:, :10]]
+        got = {}
+        for r in ann.nearest(df).collect():
+            got.setdefault(r["vec_id"], set()).add(r["neighbour_vec_id"])
+        recall = np.mean([len(got[k] & set(w)) / 10 for k, w in zip(ids, want)])
+        print(sf, recall)
+        assert recall >= 0.9
+
+
 def test_vectors_of_awkward_rows(spark):
     rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [0.0, 1.0], "b"), (4, None, "c"), (5, [], "c"), (6, [1.0], "c"), (7, [float("nan"), 1.0], "c"), (None, [1.0, 1.0], "c"), (8, [1.0, None], "d")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list string")
