@@ -139,7 +139,9 @@ def decode(span: str, model: Letters, doubles: bool = True) -> tuple[str, float]
 def restore(span: str, model: Letters) -> str | None:
     """The plausible readings that differ from what is written, with doubled letters as one and as two."""
     if span not in model.cache:
-        found = dict.fromkeys(w for w, mean in (decode(span, model), decode(span, model, False)) if len(w) > 2 and w != span and mean >= model.mean - SLACK)
+        if len(model.cache) >= MOST_CACHED:
+            model.cache.clear()
+        found = dict.fromkeys(w for w, mean in (decode(span, model), decode(span, model, False)) if len(w) > 2 and w != span.lower() and mean >= model.mean - SLACK)
         model.cache[span] = " ".join(found) or None
     return model.cache[span]
 
@@ -148,26 +150,41 @@ _IS_LETTER = WORD_BYTE.copy()
 _IS_LETTER[48:58] = False
 _IS_LOOK = np.zeros(256, bool)
 _IS_LOOK[[ord(c) for c in LOOKS if ord(c) < 128]] = True
+_IS_CUT = np.zeros(256, bool)
+_IS_CUT[[ord(c) for c in SEPARATORS - {" "}]] = True
+_WIDE_LOOKS = [np.frombuffer(c.encode(), np.uint8) for c in LOOKS if ord(c) >= 128]
+#: Readings that a worker keeps at hand.
+MOST_CACHED = 1 << 18
 _EDGE = ".,;:!?\"'`)]}>([{<*_~-|"
 
 
 def suspicious(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """(row, span) of what may be obfuscated: words with look-alikes or separators inside, words that
-    repeat a letter three times, and four or more single letters in a row."""
+    repeat a letter, and four or more single letters in a row, whatever blanks stand between them."""
     row, start, end = spans(offsets, data, NOT_SPACE_BYTE)
     if not len(row):
         return row, []
-    letter = np.concatenate([[0], np.cumsum(_IS_LETTER[data] & ((data & 0xC0) != 0x80))])
+    wide = np.zeros(len(data), bool)
+    for c in _WIDE_LOOKS:
+        m = len(data) - len(c) + 1
+        if m > 0:
+            wide[:m] |= np.all([data[j : m + j] == c[j] for j in range(len(c))], axis=0)
+    head = (data & 0xC0) != 0x80
+    letter = np.concatenate([[0], np.cumsum(_IS_LETTER[data] & head & ~wide)])
     n = letter[end] - letter[start]
-    inner = np.zeros(len(data), bool)
-    odd = ~_IS_LETTER[data]
-    odd &= _IS_LOOK[data] | np.isin(data, [ord(c) for c in ".-_*~"])
-    inner[:-1] = odd[:-1] & (_IS_LETTER[data[1:]] | _IS_LOOK[data[1:]])
-    triple = np.zeros(len(data), bool)
-    triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _IS_LETTER[data[2:]]
+    odd = ~_IS_LETTER[data] & (_IS_LOOK[data] | _IS_CUT[data])
+    inner = wide.copy()
+    inner[:-1] |= odd[:-1] & (_IS_LETTER[data[1:]] | _IS_LOOK[data[1:]])
+    double = np.zeros(len(data), bool)
+    double[1:] = (data[1:] | 0x20 == data[:-1] | 0x20) & _IS_LETTER[data[1:]] & (data[1:] < 128)  # in either case
+    double[start] = False  # what stands before is another row's or a blank
+    two = np.zeros(len(data), bool)
+    two[3:] = (data[3:] == data[1:-2]) & (data[2:-1] == data[:-3]) & (data[:-3] >= 0xC2) & (data[:-3] < 0xE0)  # letters of two bytes
+    two[np.minimum(start + 1, len(data) - 1)] = False
+    double |= two
     sums = np.concatenate([[0], np.cumsum(inner)])
-    threes = np.concatenate([[0], np.cumsum(triple)])
-    pick = (n >= 1) & (sums[end] - sums[start] > 0) | (threes[end] - threes[start] > 0)
+    twos = np.concatenate([[0], np.cumsum(double)])
+    pick = (n >= 1) & (sums[end] - sums[start] > 0) | (twos[end] - twos[start] > 0)
     raw = data.tobytes()
     rows, found = [], []
     for r, s, e in zip(row[pick].tolist(), start[pick].tolist(), end[pick].tolist()):
@@ -178,15 +195,15 @@ def suspicious(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[
         if len(word) > 2:
             rows.append(r)
             found.append(word)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = np.concatenate([[0], np.cumsum(head)])
     single = (chars[end] - chars[start] == 1) & (_IS_LETTER[data[start]] | _IS_LOOK[data[start]])
-    linked = single[1:] & single[:-1] & (row[1:] == row[:-1]) & (start[1:] - end[:-1] == 1)
-    head = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]])) if len(linked) else []
+    linked = single[1:] & single[:-1] & (row[1:] == row[:-1])
+    first = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]])) if len(linked) else []
     tail = np.flatnonzero(linked & ~np.concatenate([linked[1:], [False]])) + 1 if len(linked) else []
-    for a, b in zip(head, tail):
+    for a, b in zip(first, tail):
         if b - a >= 3:
             rows.append(int(row[a]))
-            found.append(raw[start[a] : end[b]].decode())
+            found.append(" ".join(raw[start[a] : end[b]].decode().split()))
     return np.array(rows, np.int64), found
 
 

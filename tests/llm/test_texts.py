@@ -153,6 +153,13 @@ def test_suspicious_spans():
     assert sorted(zip(row.tolist(), found)) == [(0, "m0r0n"), (1, "i d i o t"), (3, "sooo")]
 
 
+@pytest.mark.parametrize("text,word", [("stuupid", "stupid"), ("morron", "moron"), ("loOser", "loser"), ("i/d/i/o/t", "idiot"), ("s,t,u,p,i,d", "stupid"), ("t'r`a\\s/h", "trash"), ("los€r", "loser"), ("c£own", "clown"), ("¡diot", "idiot"), ("i  d \t i   o t", "idiot")])
+def test_every_form_of_the_channel_reaches_the_decoder(text, word):
+    model = letters_of([" ".join(WORDS) * 20])
+    _, found = toxicity.suspicious(*common.buffers(pa.array([f"the river {text} and the garden"])))
+    assert any(word in (toxicity.restore(f, model) or "").split() for f in found)
+
+
 def test_toxic_documents_are_found_held_out(spark):
     rng = np.random.default_rng(1)
     plain = [w for w in WORDS if w in "the and with river house garden people".split()]
