@@ -33,8 +33,9 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Only the key (as LONG ``k``) and the text (as STRING ``t``), so that other columns can't clash."""
-    return df.select(quoted(key).cast("long").alias("k"), quoted(text).cast("string").alias("t"))
+    """Only the key (as LONG ``k``) and the text (as STRING ``t``), so that other columns can't clash. A key that
+    is no whole number, such as a word, counts as null."""
+    return df.select(quoted(key).try_cast("long").alias("k"), quoted(text).cast("string").alias("t"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
