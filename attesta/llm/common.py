@@ -38,13 +38,11 @@ def narrow(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(quoted(key).try_cast("long").alias("k"), quoted(text).cast("string").alias("t"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder of the session.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in which the session's checkpoints go: its ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where none is set, as in tests on one
-    machine, a temporary one is made; on a cluster that is refused.
+    Where none is set, as in tests on one machine, a temporary one is made; on a cluster that is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,9 +51,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="attesta-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder of the session."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpointed frame that a later checkpoint has made needless."""
+    jvm = df.sparkSession.sparkContext._jvm
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_sample(rows: DataFrame, key: str, most: int, seed: int, n: int | None = None) -> DataFrame:
     """At most ``most`` rows, those whose keys hash lowest. A cut at four times their share of all rows
     comes first, so what is sorted, and sent to the driver, doesn't grow with the table."""

@@ -2,8 +2,9 @@
 
 A unit is a line, with the blank lines after it; a long line is cut into pieces where a word's hash is
 the least of its neighbourhood, so cuts depend on nearby words only and come back in step after an
-insertion. Every two adjacent units are hashed together. Where such a pair occurs anywhere before, byte
-for byte, both its units are removed; the first occurrence of every unit, by key and place, stays.
+insertion. The hash of every two adjacent units rolls over the text. Where such a pair occurs anywhere
+before, byte for byte, both its units are marked; a stretch of marked units that holds enough words is
+removed. The first occurrence of every unit, by key and place, stays.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from attesta.llm.common import NOT_SPACE_BYTE, buffers, narrow, prefix_hashes, q
 WINDOW = 3
 #: A piece of a line ends after so many words at the latest.
 MOST_WORDS = 32
+#: A stretch of repeated units with fewer words in all stays: short lines and phrases recur in any prose.
+LEAST_WORDS = 16
 
 
 def chunks(array: pa.Array, window: int = WINDOW, most: int = MOST_WORDS):
@@ -40,9 +43,9 @@ def chunks(array: pa.Array, window: int = WINDOW, most: int = MOST_WORDS):
     cut = opens.copy()
     cut[1:] |= least[:-1]
     first = np.flatnonzero(cut)
-    for b, e in zip(first, np.append(first[1:], n)):
-        if e - b > most:
-            cut[b:e:most] = True
+    end_of = np.append(first[1:], n)
+    for j in np.flatnonzero(end_of - first > most):
+        cut[first[j] : end_of[j] : most] = True
     first = np.flatnonzero(cut)
     # a line's first unit has the blanks before it, a row's first one all that stands before
     line_start = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
@@ -63,14 +66,15 @@ def chunks(array: pa.Array, window: int = WINDOW, most: int = MOST_WORDS):
     return urow, number, words, head, stop, bare, span_hashes(sums, head, bare), data
 
 
-def _hashed(batches, how: dict):
-    """The hash of every two adjacent units, with the number of the first."""
+def _hashed(batches, how: dict, bits: int):
+    """The hash, of so many bits, of every two adjacent units, with the number of the first."""
     schema = pa.schema([("h", pa.int64()), ("k", pa.int64()), ("i", pa.int32())])
     for batch in batches:
         for at, texts in steps(batch.column(1)):
             row, number, _, s, _, bare, _, data = chunks(texts, **how)
             two = np.flatnonzero(row[1:] == row[:-1])
             h = span_hashes(prefix_hashes(data), s[two], bare[two + 1]) if len(two) else np.empty(0, np.uint64)
+            h = h >> np.uint64(64 - bits)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row[two] + at)), pa.array(number[two].astype(np.int32))], schema=schema)
 
 
@@ -108,18 +112,18 @@ def _texts(batches, field: str, how: dict):
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
     """(k, d): the key and the whole row, in one exchange that both joins to the text use."""
-    return docs.where(quoted(key).cast("long").isNotNull()).select(quoted(key).cast("long").alias("k"), F.struct(*[quoted(c) for c in docs.columns]).alias("d")).repartition("k")
+    return docs.where(quoted(key).try_cast("long").isNotNull()).select(quoted(key).try_cast("long").alias("k"), F.struct(*[quoted(c) for c in docs.columns]).alias("d")).repartition("k")
 
 
-def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """(k, gone): each document with units to remove, as runs (first unit, units).
+def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64, **how) -> DataFrame:
+    """(k, gone): each document with repeated units, as runs (first unit, units).
 
     Hashes alone find the pairs of units that occur more than once; only their bytes, each run of
     them once, are then sent to be compared with the first occurrence's.
     """
     rows = narrow(docs, key, text).where("k is not null and t is not null")
     same = Window.partitionBy("h").orderBy("k", "i")
-    pairs = rows.mapInArrow(lambda b: _hashed(b, how), "h long, k long, i int").select("k", "i", F.first("k").over(same).alias("k0"), F.first("i").over(same).alias("i0"))
+    pairs = rows.mapInArrow(lambda b: _hashed(b, how, bits), "h long, k long, i int").select("k", "i", F.first("k").over(same).alias("k0"), F.first("i").over(same).alias("i0"))
     later = pairs.where("k != k0 or i != i0").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("i", "k0", "i0"))).alias("pairs"))
     runs = later.mapInArrow(_runs, "k long, i int, m int, k0 long, i0 int")
     ask = F.explode(F.array(F.struct("k", "i", "m", "k0", "i0"), F.struct(F.col("k0").alias("k"), F.col("i0").alias("i"), "m", "k0", "i0")))
@@ -130,49 +134,63 @@ def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str =
     return gone.groupBy("k").agg(F.collect_set(F.struct("i", "m")).alias("gone"))
 
 
-def without(text: pa.Array, gone: pa.Array, **how) -> pa.Array:
-    """Each text without the runs of units listed; null stays null."""
+def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, **how) -> pa.Array:
+    """Each text without the runs of units listed, where they add up to stretches of ``least`` words; null stays null."""
     out: list = []
     for at, texts in steps(text):
         lists = gone.slice(at, len(texts)).to_pylist()
-        row, number, _, s, e, _, _, data = chunks(texts, **how)
+        row, _, words, s, e, _, _, data = chunks(texts, **how)
+        edges = np.searchsorted(row, np.arange(len(texts) + 1))
         raw = data.tobytes()
         for r, x in enumerate(texts):
-            if not lists[r]:
+            lo, hi = edges[r], edges[r + 1]
+            drop = np.zeros(hi - lo + 2, bool)  # with a kept unit at either end
+            for g in lists[r] or ():
+                drop[g["i"] + 1 : g["i"] + g["m"] + 1] = True
+            drop[-1] = False
+            change = np.flatnonzero(np.diff(drop))
+            held = np.concatenate([[0], np.cumsum(words[lo:hi])])
+            for a, b in zip(change[::2], change[1::2]):
+                if held[b] - held[a] < least:
+                    drop[a + 1 : b + 1] = False
+            if not drop.any():
                 out.append(x.as_py())
                 continue
-            drop = {j for g in lists[r] for j in range(g["i"], g["i"] + g["m"])}
             kept: list[bytes] = []
-            for u in range(*np.searchsorted(row, [r, r + 1]).tolist()):
+            for u, off in zip(range(lo, hi), drop[1:-1].tolist()):
                 part = raw[s[u] : e[u]]
-                if int(number[u]) not in drop:
+                if not off:
                     kept.append(part)
                 elif kept and not kept[-1].endswith(b"\n") and part.endswith(b"\n"):  # the rest of its line stays
                     kept[-1] = kept[-1].rstrip() + b"\n"
             rest = b"".join(kept).decode()
-            out.append(rest.rstrip() if drop and rest and not x.as_py()[-1].isspace() else rest)
+            out.append(rest.rstrip() if rest and not x.as_py()[-1].isspace() else rest)
     return pa.array(out, pa.string())
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None, **how) -> DataFrame:
-    """The rows, with all their columns, without units that occur before beside the same unit; emptied documents go.
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None, least: int = LEAST_WORDS, bits: int = 64, **how) -> DataFrame:
+    """The rows, with all their columns, without stretches of ``least`` words and more whose units each occur before
+    beside the same unit; emptied documents go.
 
-    ``n_chars`` names a column that is set to the new length where the text changes. Rows with a
-    null key or text stay as they are. Rows that repeat a key and text are one document; where texts
-    differ, each loses the numbers removed from any of them. Whole texts count. An empty table gives
-    an empty one.
+    ``n_chars`` names a column that is set to the new length where the text changes. Rows with a null
+    text, or a key that is null or no whole number, stay as they are, and so do empty texts. Rows
+    that repeat a key and text are one document; where texts differ, each loses the units removed
+    from any of them. Whole texts count. An empty table gives an empty one. Hashes of ``bits`` bits
+    only propose; what goes is equal byte for byte to what stays.
     """
     keyed = _keyed(docs, key)
-    lists = repeated(docs, keyed, key, text, **how)
+    lists = repeated(docs, keyed, key, text, bits, **how)
 
     @F.arrow_udf("string")
     def rest(t: pa.Array, g: pa.Array) -> pa.Array:
-        return without(t, g, **how)
+        return without(t, g, least, **how)
 
     joined = keyed.join(lists, "k", "left").select("d", "gone")
-    changed = F.col("gone").isNotNull()
+    listed = F.col("gone").isNotNull()
     was = F.col("d").getField(text)
-    joined = joined.withColumn("new", F.when(changed, rest(F.when(changed, was.cast("string")), F.col("gone"))).otherwise(was)).where(~changed | (F.length(F.trim(F.col("new"))) > 0))
+    joined = joined.withColumn("new", F.when(listed, rest(F.when(listed, was.cast("string")), F.col("gone"))).otherwise(was))
+    changed = listed & ~F.col("new").eqNullSafe(was.cast("string"))
+    joined = joined.where(~changed | (F.length(F.trim(F.col("new"))) > 0))
     columns = []
     for c in docs.columns:
         own = F.col("d").getField(c)
@@ -182,4 +200,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str
             columns.append(F.when(changed, F.length(F.col("new")).cast(docs.schema[c].dataType)).otherwise(own).alias(c))
         else:
             columns.append(own.alias(c))
-    return joined.select(*columns).unionByName(docs.where(quoted(key).cast("long").isNull()))
+    return joined.select(*columns).unionByName(docs.where(quoted(key).try_cast("long").isNull()))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import checkpointed, quoted
+from attesta.llm.common import checkpointed, quoted, unused
 
 SEED = "mix-1"
 BLOCK_TOKENS = 32_768
@@ -51,12 +51,12 @@ def choose(
     within a document; one longer than a block makes a block alone.
 
     Rows that repeat a key are one document, with the greatest of their sources and token counts. A
-    null source is '(none)'. Rows with a null key, or without a token, can't be chosen. An empty
+    null source is '(none)'. Rows whose key is null or no whole number, or without a token, can't be chosen. An empty
     table gives an empty one. Ties of quotients go to the source that sorts first. Other columns are
     not read. The token counts, one narrow row a document, are checkpointed; the driver gets one row.
     """
     counts = (
-        docs.select(quoted(key).cast("long").alias("k"), F.coalesce(quoted(source).cast("string"), F.lit(NO_SOURCE)).alias("s"), tokens(quoted(text).cast("string")).alias("n"))
+        docs.select(quoted(key).try_cast("long").alias("k"), F.coalesce(quoted(source).cast("string"), F.lit(NO_SOURCE)).alias("s"), tokens(quoted(text).cast("string")).alias("n"))
         .where(F.col("k").isNotNull() & (F.col("n") > 0))
         .groupBy("k")
         .agg(F.max("s").alias("s"), F.max("n").alias("n"))
@@ -97,8 +97,9 @@ def choose(
 
 def keep_chosen(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The rows, with all their columns, whose document is chosen."""
-    picked = choose(docs, key=key, **how).select(key)
-    return docs.join(picked, key, "left_semi").select(*[quoted(c) for c in docs.columns])
+    n = unused(docs, "k")
+    picked = choose(docs, key=key, **how).select(quoted(key).alias(n))
+    return docs.join(picked, quoted(key).try_cast("long") == F.col(n), "left_semi").select(*[quoted(c) for c in docs.columns])
 
 
 def sql(table: str = "documents", seed: str = SEED, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, keep: float = KEEP) -> str:

@@ -13,7 +13,9 @@ def test_stages_keep_clean_documents_and_drop_planted_ones(spark):
     prose = lambda n: " ".join(rng.choice(words, n))
     rows = [(i, "\n".join(prose(30) for _ in range(5)), f"s{i % 3}") for i in range(60)]
     rows += [(100 + i, rows[0][1], "s0") for i in range(3)]  # exact copies
-    rows += [(200, rows[1][1].replace(" ", " x ", 3), "s1"), (300, "spam " * 900, "s1"), (301, None, "s1"), (302, "", None)]
+    edited = rows[1][1].split(" ")
+    edited[::12] = [f"x{i}" for i in range(len(edited[::12]))]  # too often for the line stage
+    rows += [(200, " ".join(edited), "s1"), (300, "spam " * 900, "s1"), (301, None, "s1"), (302, "", None)]
     docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept, df = {}, docs
     for name, stage in corpus_pipeline.STAGES:
@@ -32,6 +34,6 @@ def test_stages_keep_clean_documents_and_drop_planted_ones(spark):
 
 def test_every_operator_is_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "sentence_pieces"]

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from attesta.llm import linededup, minhash, mixing, sharding
+from attesta.llm import common, linededup, minhash, mixing, sharding
 
 
 def pairs_of(text, width=2):
@@ -86,26 +86,80 @@ def test_near_copies_of_awkward_rows(spark, odd):
     assert minhash.keep_first(odd.limit(0)).count() == 0
 
 
-def plain_dedup(docs):
-    """Chunks by the same boundaries, removed one by one in key order by their bytes."""
-    seen, out = set(), {}
+def test_names_with_dots_and_keys_of_text(spark):
+    rows = [("1", "a b c d e f g"), ("2", "a b c d e f g"), ("x", "a b c d e f g"), ("y", "h i j k l m n")]
+    df = spark.createDataFrame(rows, ["doc.id", "the text"]).selectExpr("*", "1 as n", "2 as k", "3 as same")
+    kept = minhash.keep_first(df, "doc.id", "the text")
+    assert kept.columns == df.columns and {r[0] for r in kept.collect()} == {"1", "x", "y"}
+    assert linededup.dedup(df, "doc.id", "the text").count() == 4
+    assert mixing.keep_chosen(df.withColumn("s.c", df["n"]), "doc.id", text="the text", source="s.c", keep=1.0).count() == 2
+    assert sharding.shard(df, key="doc.id", text="the text", slots=8).count() == 4
+
+
+def test_spent_checkpoints_are_deleted(spark):
+    import glob
+
+    df = common.checkpointed(spark.range(5).toDF("k"))
+    there = lambda: set(glob.glob(spark.sparkContext.getCheckpointDir().replace("file:", "") + "/rdd-*"))
+    before = there()
+    again = common.checkpointed(df.selectExpr("k + 1 as k"))
+    common.forget(df)
+    assert len(there() & before) == len(before) - 1 and again.count() == 5
+    common.forget(spark.range(3))
+
+
+def plain_dedup(docs, least=linededup.LEAST_WORDS):
+    """Pairs of adjacent units, in key order, marked by their bytes where they stand before; long stretches go."""
+    first, out = {}, {}
     for k, t in sorted(docs):
-        _, _, n, s, e, bare, _, data = linededup.chunks(pa.array([t]))
-        raw, rest, gone = data.tobytes(), [], False
-        for c, a, b, z in zip(n, s, e, bare):
-            if c >= 2 and z > a and raw[a:z] in seen:
-                gone = True
-            else:
-                rest.append(raw[a:b])
-                if c >= 2 and z > a:
-                    seen.add(raw[a:z])
-        r = b"".join(rest).decode()
-        r = r[:-1] if gone and r.endswith("\n") and not t.endswith("\n") else r
-        if not gone or r.strip():
+        _, _, words, s, e, bare, _, data = linededup.chunks(pa.array([t]))
+        raw, n = data.tobytes(), len(s)
+        marked = [False] * n
+        for i in range(n - 1):
+            pair = raw[s[i] : bare[i + 1]]
+            if first.setdefault(pair, (k, i)) != (k, i):
+                marked[i] = marked[i + 1] = True
+        i = 0
+        while i < n:
+            j = i
+            while j < n and marked[j] == marked[i]:
+                j += 1
+            if marked[i] and sum(words[i:j]) < least:
+                marked[i:j] = [False] * (j - i)
+            i = j
+        rest = b""
+        for i in range(n):
+            part = raw[s[i] : e[i]]
+            if not marked[i]:
+                rest += part
+            elif rest and not rest.endswith(b"\n") and part.endswith(b"\n"):
+                rest = rest.rstrip() + b"\n"
+        r = rest.decode()
+        r = r.rstrip() if any(marked) and r and not t[-1].isspace() else r
+        if not any(marked) or r.strip():
             out[k] = r
     return out
 
 
+def test_line_dedup_of_the_small_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    want = plain_dedup(docs)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()} == want
+    assert sum(want.get(k) != t for k, t in docs) > 5
+
+
+def test_short_repeats_stay_and_long_documents_are_quick():
+    import time
+
+    line = [f"{i} a line of text {i % 977}" for i in range(160_000)]
+    gone = [{"i": int(i), "m": 3} for i in range(0, 150_000, 5)]
+    began = time.process_time()
+    rest = linededup.without(pa.array(["\n".join(line)]), pa.array([gone]))[0].as_py().split("\n")
+    assert time.process_time() - began < 8 and len(rest) == 160_000 - 90_000
+    assert linededup.without(pa.array(["a b\nc d\ne f"]), pa.array([[{"i": 0, "m": 2}]]))[0].as_py() == "a b\nc d\ne f"
+
+
 def test_line_dedup_against_a_plain_version(spark):
     rng = np.random.default_rng(4)
     block = [f"shared line number {i}" for i in range(40)]
@@ -153,11 +207,15 @@ def test_shared_passages_in_other_documents_go(spark):
         assert rest <= left and len(left & set(shared.split())) <= (0 if shared is not inner else 25)
 
 
-def test_equal_hashes_with_other_bytes_are_kept(spark, monkeypatch):
-    """The bytes decide: with a hash that always collides nothing but true copies goes."""
-    df = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup(df, most=2).collect()}
-    assert got[3] == "e\nf\ng\nh" and got[1] == "a\nb\nc\nd" and len(got.get(2, "")) < 7
+def test_equal_hashes_with_other_bytes_are_kept(spark):
+    """The bytes decide: with hashes of few bits, where nearly all collide, nothing but true copies goes."""
+    docs = [(1, "a\nb\nc\nd"), (2, "a\nb\nc\nd"), (3, "e\nf\ng\nh"), (4, "\n".join(f"line {i}" for i in range(50)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for bits in (1, 3):
+        got = {r["doc_id"]: r["text"] for r in linededup.dedup(df, least=1, bits=bits).collect()}
+        assert got[1] == docs[0][1] and got[3] == docs[2][1] and got[4] == docs[3][1]
+        assert set(got.get(2, "").split()) <= set("abcd")
+    assert 2 not in {r["doc_id"] for r in linededup.dedup(df, least=1).collect()}
 
 
 def test_line_dedup_of_awkward_rows(spark, odd):
@@ -227,15 +285,40 @@ def test_slots_are_stable_and_maps_are_versioned(spark, odd, tmp_path):
     for r in got:
         if r["doc_id"] is not None:
             assert r["slot"] == int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16) % 4096
-    v2 = {r["slot"]: r["shard"] for r in sharding.read_map(spark, str(tmp_path / "m"), 2).collect()}
+    last = sharding.versions(spark, str(tmp_path / "m"))[-1]
+    v2 = {r["slot"]: r["shard"] for r in sharding.read_map(spark, str(tmp_path / "m"), last).collect()}
     assert len(v2) == 4096 and all(v2[r["slot"]] == r["shard"] for r in got)
     import pytest
 
     with pytest.raises(Exception, match="exists"):
-        sharding.write_map(spark, str(tmp_path / "m"), 2, [0])
+        sharding.write_map(spark, str(tmp_path / "m"), last, [0])
     assert sharding.shard(odd.limit(0), folder=str(tmp_path / "e")).count() == 0
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    folder = str(tmp_path / "edited")
+    frame = lambda n: spark.createDataFrame([(k, "x" * (n if k % 7 == 0 else 50)) for k in range(300)], "doc_id long, text string")
+    maps = lambda: {v: [r["shard"] for r in sharding.read_map(spark, folder, v).orderBy("slot").collect()] for v in sharding.versions(spark, folder)}
+    sharding.shard(frame(50), folder, slots=64, shard_bytes=3000).collect()
+    before = maps()
+    again = sharding.shard(frame(50), folder, slots=64, shard_bytes=3000).collect()
+    assert maps() == before  # nothing to move, nothing written
+    assert {(r["map_version"], r["first_shard"] == r["shard"]) for r in again} == {(max(before), True)}
+    rows = sharding.shard(frame(900), folder, slots=64, shard_bytes=3000).collect()
+    after = maps()
+    last = max(before)
+    assert {v: after[v] for v in before} == before and sorted(after) == [*sorted(before), last + 1]
+    sizes = [0] * 64
+    for r in rows:
+        sizes[r["slot"]] += r["n_bytes"]
+        assert r["first_shard"] == after[last][r["slot"]] and r["shard"] == after[last + 1][r["slot"]] and r["map_version"] == last + 1
+    assert after[last + 1] == naive_rebalance(after[last], sizes, max(-(-sum(sizes) // 3000), max(after[last]) + 1))
+    import pytest
+
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(frame(50), folder, slots=32)
+
+
 def naive_rebalance(assigned, sizes, shards, tolerance=0.1):
     """The same rule, looking at everything again for every move."""
     out, stuck = list(assigned), set()
