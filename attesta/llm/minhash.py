@@ -4,9 +4,12 @@ Each pair of neighbouring words is hashed once; the hash's top bits choose a bin
 for its minimum. An empty bin takes the value of the bin that a fixed random sequence of its own
 reaches first, so that two documents agree in a bin with the probability of their Jaccard
 similarity, however short they are. Runs of bins make bands; documents that share a band's hash meet
-in a bucket, where each is tied to the bucket's first document and to its neighbour in the order of
-the next band's hash: at most two edges a member, whatever the bucket's size. Edges stand if the
+in a bucket, where each is tied to the bucket's first document and to the first of those that share
+the next band's hash too: at most two edges a member, whatever the bucket's size. Edges stand if the
 signatures agree enough; documents that edges connect are one group.
+
+First documents are grouped minima, combined before the shuffle, and joined back, so no task holds a
+bucket or a group of exact copies: a large one is split by the skew join.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from attesta.llm.common import checkpointed, mix64, narrow, quoted, steps, unused, word_hashes
+from attesta.llm.common import checkpointed, forget, mix64, narrow, quoted, steps, unused, word_hashes
 
 BINS = 128
 BANDS = 32
@@ -125,13 +128,13 @@ def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def star_edges(signs: DataFrame) -> DataFrame:
-    """Distinct candidate edges (a < b): to the bucket's least key, and to the neighbour in it."""
+    """Distinct candidate edges (a < b): to the least key of the bucket, and of those in it that share the next band."""
     n = F.size("bands")
-    item = F.posexplode("bands").alias("i", "h")
-    rows = signs.select("k", "bands", item).select("k", "h", F.element_at("bands", F.pmod(F.col("i") + 1, n) + 1).alias("next"))
-    bucket = Window.partitionBy("h")
-    tied = rows.select("k", F.min("k").over(bucket).alias("first"), F.lag("k").over(bucket.orderBy("next", "k")).alias("prior"))
-    pairs = tied.where("prior is not null or first <> k").select("k", F.explode(F.array("first", "prior")).alias("o")).where("o is not null and o <> k")
+    items = signs.select("k", "bands", F.posexplode("bands").alias("i", "h")).select("k", "h", F.element_at("bands", F.pmod(F.col("i") + 1, n) + 1).alias("next"))
+    first = items.groupBy("h").agg(F.min("k").alias("o"), F.max("k").alias("last")).where("o <> last").select("h", "o")
+    shared = items.join(first, "h")
+    second = shared.groupBy("h", "next").agg(F.min("k").alias("p"), F.max("k").alias("last")).where("p <> last").select("h", "next", "p")
+    pairs = shared.select("k", "o").unionByName(shared.join(second, ["h", "next"]).select("k", F.col("p").alias("o"))).where("o <> k")
     return pairs.select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
 
 
@@ -149,7 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        e = checkpointed(low.select(F.col("m").alias("a"), "b").unionByName(small).distinct())
+        last, e = e, checkpointed(low.select(F.col("m").alias("a"), "b").unionByName(small).distinct())
+        forget(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return e.select(F.col("b").alias("k"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("k"), F.col("a").alias("root")).distinct())
@@ -159,14 +163,15 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: int = BINS, bands: int = BANDS, width: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, kept key): each document that is an exact or near copy, and the least key of its group.
 
-    A document whose text is null or has no word is in no group; one with a null key is left out.
+    A document whose text is null or has no word is in no group; one whose key is null or no whole
+    number is left out.
     Rows that repeat a key are one document, a copy of all that any of its rows is a copy of. Whole
     texts count. An empty table gives an empty one. Other columns are not read.
     """
-    rows = signed(docs, key, text, bins, bands, width)
-    rows = checkpointed(rows.withColumn("rep", F.min("k").over(Window.partitionBy("same"))))
-    equal = rows.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"))
-    reps = rows.where("k = rep").dropDuplicates(["k", "same"])
+    rows = checkpointed(signed(docs, key, text, bins, bands, width))
+    reps = rows.groupBy("same").agg(F.min(F.struct("k", "sig", "bands")).alias("m")).select("same", "m.*")
+    reps = checkpointed(reps)
+    equal = rows.select("k", "same").join(reps.select(F.col("k").alias("a"), "same"), "same").where("k <> a").select("a", F.col("k").alias("b"))
     sigs = reps.select("k", "sig")
     near = (
         star_edges(reps.select("k", "bands"))
@@ -175,18 +180,24 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bins: i
         .where(agreement("x", "y") >= similarity)
         .select("a", "b")
     )
-    return components(equal.unionByName(near)).where("k <> root").select(F.col("k").alias(key), F.col("root").alias(f"kept_{key}"))
+    groups = components(equal.unionByName(near))
+    forget(rows)
+    forget(reps)
+    return groups.where("k <> root").select(F.col("k").alias(key), F.col("root").alias(f"kept_{key}"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows, with all their columns, less the copies that ``duplicates`` finds.
 
-    Of rows that repeat a key, the one whose text sorts first stays. Rows with a null key stay.
+    Of rows that repeat a key, the one whose text sorts first stays; only if a key repeats, which a
+    count of the keys tells, are rows grouped for that. Rows whose key is null or no whole number,
+    or whose text is null or empty, stay. An empty table gives an empty one.
     """
-    copies = duplicates(docs, key, text, **how).select(key)
-    rest = docs.join(copies, key, "left_anti")
     n = unused(docs, "n")
-    alone = F.when(quoted(key).isNull(), F.xxhash64(quoted(text).cast("string")))
-    order = Window.partitionBy(quoted(key), alone).orderBy(quoted(text))
-    first = rest.withColumn(n, F.row_number().over(order)).where((F.col(n) == 1) | quoted(key).isNull())
-    return first.select(*[quoted(c) for c in docs.columns])
+    own = quoted(key).try_cast("long")
+    copies = duplicates(docs, key, text, **how).select(quoted(key).alias(n))
+    rest = docs.join(copies, own == F.col(n), "left_anti")
+    if docs.select(own.alias("k")).where("k is not null").groupBy("k").count().where("count > 1").limit(1).count():
+        first = F.row_number().over(Window.partitionBy(own, F.when(own.isNull(), F.xxhash64(quoted(text).cast("string")))).orderBy(quoted(text)))
+        rest = rest.withColumn(n, first).where((F.col(n) == 1) | own.isNull())
+    return rest.select(*[quoted(c) for c in docs.columns])
