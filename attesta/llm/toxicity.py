@@ -21,9 +21,7 @@ from attesta.llm.common import NOT_SPACE_BYTE, WORD_BYTE, buffers, hash_sample,
 
 #: Labelled documents that the classifier is fitted on, at most; chosen by a hash of their keys.
 SAMPLE_DOCS = 20_000
-#: Features that the classifier has at most: the likeliest signs of toxicity.
-MOST_FEATURES = 20_000
-#: A feature needs so many toxic documents of the sample, and such log odds.
+#: A feature needs so many toxic documents of the sample, and such log odds; all that have them count.
 LEAST_DOCS, LEAST_ODDS = 3, 1.5
 #: Bytes of the beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7)
@@ -40,7 +38,11 @@ OTHER = 63
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "%": "o", "#": "h",
+    "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ѕ": "s", "ј": "j", "ԁ": "d",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u",
 }
+#: Look-alikes that are letters of another script: they count only beside a Latin letter.
+FOREIGN = {c for c in LOOKS if c.isalpha()}
 SEPARATORS = set(" .-_*~'`,/\\")
 _LOOK_COST, _REPEAT_COST, _CUT_COST = math.log(0.3), math.log(0.4), math.log(0.9)
 
@@ -100,6 +102,8 @@ def readings(c: str) -> list[tuple[str, float]]:
     """Letters that a written character may stand for, with the channel's log probability; '' drops it."""
     if c in CODE:
         return [(c, 0.0)]
+    if c in FOREIGN:
+        return [(LOOKS[c], _LOOK_COST), (c, 0.0)]
     if c in LOOKS:
         return [(x, _LOOK_COST - math.log(len(LOOKS[c]))) for x in LOOKS[c]]
     if c in SEPARATORS:
@@ -152,23 +156,43 @@ _IS_LOOK = np.zeros(256, bool)
 _IS_LOOK[[ord(c) for c in LOOKS if ord(c) < 128]] = True
 _IS_CUT = np.zeros(256, bool)
 _IS_CUT[[ord(c) for c in SEPARATORS - {" "}]] = True
-_WIDE_LOOKS = [np.frombuffer(c.encode(), np.uint8) for c in LOOKS if ord(c) >= 128]
+_IS_LATIN = _IS_LETTER.copy()
+_IS_LATIN[128:] = False
+
+
+def _two_bytes(chars) -> np.ndarray:
+    t = np.zeros(1 << 16, bool)
+    for c in chars:
+        b = c.encode()
+        if len(b) == 2:
+            t[b[0] << 8 | b[1]] = True
+    return t
+
+
+_WIDE_LOOKS = _two_bytes(c for c in LOOKS if not c.isalpha())
+_FOREIGN_LOOKS = _two_bytes(x for c in FOREIGN for x in (c, c.upper()) if len(x) == 1)
+_LONG_LOOKS = [np.frombuffer(c.encode(), np.uint8) for c in LOOKS if len(c.encode()) > 2]
 #: Readings that a worker keeps at hand.
 MOST_CACHED = 1 << 18
 _EDGE = ".,;:!?\"'`)]}>([{<*_~-|"
 
 
 def suspicious(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """(row, span) of what may be obfuscated: words with look-alikes or separators inside, words that
-    repeat a letter, and four or more single letters in a row, whatever blanks stand between them."""
+    """(row, span) of what may be obfuscated: words with look-alikes or separators inside, Latin words with
+    letters of another script, words that repeat a letter, and four or more single letters in a row, whatever blanks stand between them."""
     row, start, end = spans(offsets, data, NOT_SPACE_BYTE)
     if not len(row):
         return row, []
-    wide = np.zeros(len(data), bool)
-    for c in _WIDE_LOOKS:
-        m = len(data) - len(c) + 1
-        if m > 0:
-            wide[:m] |= np.all([data[j : m + j] == c[j] for j in range(len(c))], axis=0)
+    wide, foreign = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    high = np.flatnonzero((data >= 0xC2) & (data < 0xF0))
+    high = high[high + 1 < len(data)]
+    code = data[high].astype(np.int64) << 8 | data[high + 1]
+    wide[high], foreign[high] = _WIDE_LOOKS[code], _FOREIGN_LOOKS[code]
+    for c in _LONG_LOOKS:
+        at = high[(data[high] == c[0]) & (high + len(c) <= len(data))]
+        for j in range(1, len(c)):
+            at = at[data[at + j] == c[j]]
+        wide[at] = True
     head = (data & 0xC0) != 0x80
     letter = np.concatenate([[0], np.cumsum(_IS_LETTER[data] & head & ~wide)])
     n = letter[end] - letter[start]
@@ -184,7 +208,9 @@ def suspicious(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, list[
     double |= two
     sums = np.concatenate([[0], np.cumsum(inner)])
     twos = np.concatenate([[0], np.cumsum(double)])
-    pick = (n >= 1) & (sums[end] - sums[start] > 0) | (twos[end] - twos[start] > 0)
+    latin = np.concatenate([[0], np.cumsum(_IS_LATIN[data])])
+    mixed = np.concatenate([[0], np.cumsum(foreign)])
+    pick = (n >= 1) & (sums[end] - sums[start] > 0) | (twos[end] - twos[start] > 0) | (latin[end] > latin[start]) & (mixed[end] > mixed[start])
     raw = data.tobytes()
     rows, found = [], []
     for r, s, e in zip(row[pick].tolist(), start[pick].tolist(), end[pick].tolist()):
@@ -293,7 +319,7 @@ def fitted(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, model: Letters, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS) -> Weights:
     """Weights from at most ``sample`` labelled documents, so what is broadcast and gathered is bounded."""
-    marked = labels.select(quoted(key).cast("long").alias("k"), quoted("toxic").cast("int").alias("y")).where("k is not null and y is not null")
+    marked = labels.select(quoted(key).try_cast("long").alias("k"), (quoted("toxic").cast("double") > 0).cast("int").alias("y")).where("k is not null and y is not null")
     known = hash_sample(marked.groupBy("k").agg(F.max("y").alias("y")), "k", sample, SEED)
     rows = narrow(docs, key, text).where("t is not null").join(F.broadcast(known), "k").select("k", "t", "y")
 
@@ -314,10 +340,10 @@ def train(docs: DataFrame, labels: DataFrame, model: Letters, key: str = "doc_id
     odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
     best = (
         rows.mapInArrow(distinct, "h long, y int").groupBy("h").agg(a.alias("a"), b.alias("b"))
-        .where(F.col("a") >= LEAST_DOCS).select("h", (odds * F.sqrt("a")).alias("s"), odds.alias("o"))
-        .where(F.col("o") >= LEAST_ODDS).orderBy(F.desc("s"), "h").limit(MOST_FEATURES)
+        .where(F.col("a") >= LEAST_DOCS).select("h", odds.alias("o"))
+        .where(F.col("o") >= LEAST_ODDS)
     )
-    hashes = np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64)
+    hashes = np.sort(np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64))  # as many as the sample gives
     empty = Weights(hashes, np.zeros(len(hashes)), 0.0)
 
     def counted(batches):
@@ -363,8 +389,9 @@ def toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """(key, score, n_restored) of the documents that score ``threshold`` at least.
 
     A null text is never toxic; an empty one neither. Repeated rows are scored one by one and a null
-    key is kept. Whole texts count, whatever their length. Without documents, or without labels of
-    both kinds, nothing is toxic. Other columns are not read.
+    key is kept. Whole texts count, whatever their length. A label above 0 is toxic; of labels that
+    repeat a key the greatest counts, null ones don't. Without documents, or without labels of both
+    kinds, nothing is toxic. Other columns are not read.
     """
     model = letters(docs, text)
     weights = train(docs, labels, model, key, text, sample)
