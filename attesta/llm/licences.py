@@ -1,14 +1,16 @@
 """Licence scan by a trained paragraph classifier.
 
 A softmax regression over the presence of word 1- to 3-grams tells the paragraphs of a document apart
-into licence families, other licences ('unknown') and ordinary text ('none'). It is trained here on
-notices written out below, varied by rule, and on a bounded sample of the corpus's own paragraphs.
-A temperature and a threshold are set on held-out variants; a prediction under the threshold, or that
-no notice of its family resembles, is 'unknown'.
+into licence families, other licences ('unknown') and ordinary text ('none'). It is trained on the
+paragraphs of public licences and on ordinary sentences (``notices``), varied by rule; nothing of the
+corpus enters it. A temperature and a threshold are set on other variants, with licences and
+sentences that the fit has not seen. A prediction under the threshold, or that no paragraph of its
+family resembles, or one of another family resembles more, is 'unknown'. An SPDX identifier is exact.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 
@@ -16,112 +18,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from attesta.llm.common import WORD_BYTE, buffers, hash_sample, mix64, narrow, prefix_hashes, span_hashes, spans, steps
+from attesta.llm.common import WORD_BYTE, buffers, mix64, narrow, prefix_hashes, span_hashes, spans, steps
+from attesta.llm.notices import NOTICES, OTHERS, OTHERS_HELD_OUT, PLAIN, PLAIN_HELD_OUT, SPDX
 
-#: Documents whose paragraphs serve as ordinary text in training, at most; chosen by a hash of their keys.
-SAMPLE_DOCS = 400
 #: Share of a notice's word pairs that a paragraph must hold (or of its own that a notice must hold).
-RESEMBLANCE = 0.6
+RESEMBLANCE = 0.5
+#: Examples of a family, and of a sentence outside them, in training.
+VARIANTS = 120
 SEED = 7
+#: Temperatures that are tried.
+TEMPERATURES = np.geomspace(0.02, 50, 60)
 
-NOTICES: dict[str, list[str]] = {
-    "apache": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "This project is distributed under the terms of the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "This software is licensed under the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy",
-        "a copy of this software and associated documentation files",
-        "to deal in the Software without restriction, including the rights to use",
-        "The above copyright notice and this permission notice shall be included",
-        "shall be included in all copies or substantial portions of the Software.",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        "You should have received a copy of the GNU General Public License along with this program.",
-        "Distributed under the GPL v2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "lgpl": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
-        "SPDX-License-Identifier: LGPL-2.1-only",
-    ],
-    "bsd": [
-        "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License Version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "cc_by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "cc_by_sa": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Text is available under the Creative Commons Attribution-ShareAlike License.",
-    ],
-    "cc_by_nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "public_domain": [
-        "This work is dedicated to the public domain under CC0 1.0 Universal.",
-        "This is free and unencumbered software released into the public domain.",
-        "SPDX-License-Identifier: CC0-1.0",
-    ],
-    "proprietary": [
-        "All rights reserved.",
-        "Copyright (c) 2024 Example Corporation. All rights reserved.",
-        "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.",
-        "This document is proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
-    ],
-}
-#: Licences outside the families: the class 'unknown'.
-OTHERS = [
-    "Licensed under the European Union Public Licence 1.2.",
-    "Distributed under the Boost Software License, Version 1.0.",
-    "This font software is licensed under the SIL Open Font License, Version 1.1.",
-    "This database is made available under the Open Database License.",
-    "Licensed under the Artistic License 2.0.",
-    "Use of this software is governed by the Business Source License included in the LICENSE file.",
-    "This software is provided as-is, without any express or implied warranty, under the zlib license.",
-    "Licensed under the Eclipse Public License 2.0.",
-    "Released under the Academic Free License version 3.0.",
-    "This work is licensed under the Open Government Licence v3.0.",
-    "Redistribution is governed by the Common Development and Distribution License.",
-    "Licensed under the terms of the Example Community Licence, version 7.",
-]
-#: Ordinary text with words that notices use.
-PLAIN = [
-    "The driver lost his license after the accident and had to apply for a new one.",
-    "Researchers at MIT released a new study on batteries this week.",
-    "The Apache helicopter landed near the village in the general area.",
-    "The public library reserved a room for the meeting under the old terms.",
-    "You may obtain a copy of the report at the front desk free of charge.",
-    "General elections were held and the government received a mandate from the public.",
-    "The foundation published its annual report without modification.",
-    "All seats for the concert are reserved and no tickets are available.",
-    "He used the source of the river to find his way through the common land.",
-    "Fishing without a licence is prohibited in this lake by the state.",
-    "Version 2.0 of the game was released in May and players liked it.",
-    "Commercial use of the harbour has grown and many ships are distributed along the coast.",
-    "The copyright debate in parliament lasted all night and ended without a vote.",
-    "This work is important and was written in the last year of the war.",
-]
 FAMILIES = [*NOTICES]
 CLASSES = [*NOTICES, "unknown", "none"]
 _COMMON = "the of and in a to is are for on with by this that you may or it as at be".split()
@@ -136,6 +43,15 @@ def pairs(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:])) or {(x, "") for x in w}
 
 
+def spdx(text: str) -> str | None:
+    """The family of the line's SPDX identifier (the first of an expression), 'unknown' for another, None without one."""
+    m = re.search(r"SPDX-License-Identifier:\s*\(?\s*([A-Za-z0-9.+-]+)", text, re.IGNORECASE)
+    if not m:
+        return None
+    name = m[1].lower()
+    return next((f for start, f in sorted(SPDX.items(), key=lambda x: -len(x[0])) if name == start or name.startswith(start + "-")), "unknown")
+
+
 def varied(text: str, rng: random.Random, filler: list[str]) -> str:
     """The notice, or a wrapped line of it, with words dropped, changed in case, led in or followed by others."""
     w = text.split()
@@ -213,16 +129,20 @@ class Model:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def resemblance(self, family: str, text: str) -> float:
-        own = pairs(text)
+    def resemblance(self, family: str, own: set) -> float:
         return max(len(own & n) / max(1, min(len(n), max(3, len(own)))) for n in self.notices[family])
 
     def family(self, p: np.ndarray, text: str) -> tuple[str, float, float]:
         """(class, probability, resemblance) of a paragraph that isn't plainly 'none'."""
-        k = int(np.argmax(p[:-2]))
-        alike = self.resemblance(FAMILIES[k], text)
+        exact = spdx(text)
+        if exact:
+            return exact, 1.0, 1.0
+        own, k = pairs(text), int(np.argmax(p[:-2]))
+        alike = self.resemblance(FAMILIES[k], own)
         if p[k] >= self.threshold and alike >= RESEMBLANCE:
-            return FAMILIES[k], float(p[k]), alike
+            other = max(self.resemblance(f, own) for f in FAMILIES if f != FAMILIES[k])
+            if other <= alike or p[k] > 0.99:
+                return FAMILIES[k], float(p[k]), alike
         return "unknown", float(1 - p[-1]), alike
 
 
@@ -262,28 +182,37 @@ def _line_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return row[r], h
 
 
-def fit(plain: list[str], variants: int = 40, seed: int = SEED) -> Model:
-    """A model from the notices and ordinary paragraphs. The same input gives the same model."""
+def _scrambled(vocabulary: list[str], rng: random.Random, filler: list[str]) -> str:
+    """Words of notices without their order, among others: ordinary text."""
+    w = [rng.choice(vocabulary) if rng.random() < 0.4 else rng.choice(filler) for _ in range(rng.randint(4, 25))]
+    return " ".join(w)
+
+
+@functools.cache
+def fit(variants: int = VARIANTS, seed: int = SEED) -> Model:
+    """A model from the notices and ordinary sentences. The same input gives the same model."""
     rng = random.Random(seed)
-    known = [p for ts in NOTICES.values() for t in ts for p in [pairs(t)]] + [pairs(t) for t in OTHERS]
-    clean = [t for t in plain if words(t) and not any(len(pairs(t) & n) >= 0.4 * len(n) for n in known)]
-    filler = sorted({w for t in clean for w in words(t)})[:5000] or ["lorem", "ipsum", "dolor"]
+    vocabulary = sorted({w for ts in [*NOTICES.values(), OTHERS] for t in ts for w in words(t)})
+    filler = sorted({w for t in PLAIN for w in words(t)}) + ["".join(rng.choice("aeiou") if i % 2 else rng.choice("bdfgklmnprstv") for i in range(rng.randint(3, 9))) for _ in range(400)]
 
-    def examples(n: int) -> tuple[list[str], list[int]]:
+    def examples(n: int, others: list[str], plain: list[str]) -> tuple[list[str], np.ndarray]:
         texts, y = [], []
-        for k, ts in enumerate([*NOTICES.values(), OTHERS]):
+        for k, ts in enumerate([*NOTICES.values(), others]):
             for t in ts:
-                for _ in range(max(4, n * 4 // len(ts)) if k < len(NOTICES) else n // 2):
+                for _ in range(max(6, n // len(ts)) if k < len(NOTICES) else n // 6):
                     texts.append(varied(t, rng, filler))
                     y.append(k)
-        for t in PLAIN * 4 + clean:
-            texts.append(varied(t, rng, filler) if t in PLAIN else t)
+        for t in plain:
+            for _ in range(n // 6):
+                texts.append(varied(t, rng, filler))
+                y.append(len(CLASSES) - 1)
+        for _ in range(4 * n):
+            texts.append(_scrambled(vocabulary, rng, filler))
             y.append(len(CLASSES) - 1)
-        return texts, y
+        return texts, np.array(y)
 
-    texts, y = examples(variants)
+    texts, y = examples(variants, OTHERS, PLAIN)
     row, h = _line_grams(texts)
-    y = np.array(y)
     _, own = _line_grams([t for ts in [*NOTICES.values(), OTHERS, PLAIN] for t in ts])
     keep = np.setdiff1d(own, _line_grams(_COMMON)[1])
     f = np.searchsorted(keep, h)
@@ -292,21 +221,16 @@ def fit(plain: list[str], variants: int = 40, seed: int = SEED) -> Model:
     w, b = _softmax_fit(key // len(keep), key % len(keep), y, len(texts), len(keep))
     model = Model(keep, w, b, 1.0, 0.5)
 
-    texts, y = examples(variants // 4)
+    texts, y = examples(variants // 3, OTHERS_HELD_OUT, PLAIN_HELD_OUT)
     row, h = _line_grams(texts)
     rows, z = model.logits(len(texts), row, h)
     logits = np.zeros((len(texts), len(CLASSES))) + b
     logits[rows] = z
-    y = np.array(y)
-    best = np.inf
-    for t in np.geomspace(0.3, 5, 25):
-        model.temperature = t
-        p = model.probabilities(logits)
-        share = (1 / np.maximum(1, np.bincount(y, minlength=len(CLASSES))))[y]
-        loss = -float((share * np.log(p[np.arange(len(y)), y] + 1e-12)).sum())
-        if loss < best:
-            best, at = loss, t
-    model.temperature = float(at)
+    share = (1 / np.maximum(1, np.bincount(y, minlength=len(CLASSES))))[y]
+    loss = []
+    for model.temperature in TEMPERATURES:
+        loss.append(-float((share * np.log(model.probabilities(logits)[np.arange(len(y)), y] + 1e-12)).sum()))
+    model.temperature = float(TEMPERATURES[int(np.argmin(loss))])
     p = model.probabilities(logits)
     family, top = y < len(FAMILIES), p[:, :-2].max(axis=1)
     right = p[:, :-2].argmax(axis=1) == y
@@ -315,12 +239,6 @@ def fit(plain: list[str], variants: int = 40, seed: int = SEED) -> Model:
     return model
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> list[str]:
-    """Paragraphs of at most ``most`` documents; rows with neither key nor text give none."""
-    rows = hash_sample(narrow(docs, key, text).where("k is not null and t is not null"), "k", most, SEED).collect()
-    return [line for r in sorted(rows) for line in r["t"].split("\n")]
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """One row for each input row: key, family, probability, resemblance, line and n_notices.
 
@@ -328,10 +246,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     'unknown' if there are only other or unconfirmed licences; else 'none', with null figures, as for
     null and empty texts. Paragraphs are lines; a hard-wrapped notice is found by its lines. ``line``
     counts lines that hold anything, from 0. Repeated rows and null keys are kept. Whole texts are
-    read. An empty table gives an empty one; other columns are not read.
+    read. An empty table gives an empty one; other columns are not read. A key that is no whole
+    number becomes null. The model is fitted on the driver, from texts of its own, and sent along.
     """
     if model is None:
-        model = fit(sample(docs, key, text))
+        model = fit()
     schema = "k long, family string, probability double, resemblance double, line long, n_notices long"
 
     def run(batches):
