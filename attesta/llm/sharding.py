@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import narrow, small
+from attesta.llm.common import checkpoint_folder, narrow, small
 
 SLOTS = 4096
 SHARD_BYTES = 32 * 2**20
@@ -99,6 +99,43 @@ def read_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.schema("slot int, shard int").parquet(f"{folder}/version={version}")
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions stored under ``folder``, in order; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if n.removeprefix("version=").isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def rebalance(rows: DataFrame, folder: str, slots: int = SLOTS, shard_bytes: int = SHARD_BYTES, tolerance: float = TOLERANCE) -> int:
+    """Edits the newest stored map for rows (slot, n_bytes) and stores it as the next version; returns that.
+
+    Where no map is stored, version 1 is laid out evenly first. The number of shards follows the bytes
+    and never falls while every shard of the newest map fits. If nothing is to move, nothing is
+    written and the newest version is returned. What reaches the driver is one row a slot.
+    """
+    spark = rows.sparkSession
+    sizes = [0] * slots
+    for r in slot_bytes(rows).collect():  # at most one row a slot
+        sizes[r["slot"]] = r["n_bytes"]
+    shards = min(slots, max(1, -(-sum(sizes) // shard_bytes)))
+    known = versions(spark, folder)
+    if known:
+        newest = known[-1]
+        now = [r["shard"] for r in read_map(spark, folder, newest).orderBy("slot").collect()]
+        if len(now) != slots:
+            raise ValueError(f"the stored map has {len(now)} slots, not {slots}; the number of slots never changes")
+        shards = max(shards, max(now) + 1)
+    else:
+        newest, now = 1, initial_map(slots, shards)
+        write_map(spark, folder, 1, now)
+    after = rebalanced(now, sizes, shards, tolerance)
+    if after == now:
+        return newest
+    write_map(spark, folder, newest + 1, after)
+    return newest + 1
+
+
 def assign(rows: DataFrame, maps: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.join(small(maps, slots, MOST_BROADCAST), "slot")
 
@@ -114,28 +151,18 @@ def shard(
 ) -> DataFrame:
     """Each row's key, slot, shard of the first map and shard of the rebalanced one.
 
-    The number of shards follows the bytes. Both versions of the map are stored under ``folder``
-    (by default a new one in the session's shared folder). What reaches the driver is one row a
-    slot. A row with a null key goes by its text; repeated keys share a slot; a null text has no
-    bytes; an empty table gives an empty one and a map of one shard. Other columns are not read.
+    ``first_shard`` is that of the map before this call's edit, ``shard`` that of the map after it. A
+    map stored under ``folder`` (by default a new one in the session's shared folder) is edited, else
+    version 1 is laid out evenly. The number of shards follows the bytes. A row whose key is null or
+    no whole number goes by its text; repeated keys share a slot; a null text has no bytes; an empty
+    table gives an empty one and a map of one shard. Other columns are not read.
     """
     spark = docs.sparkSession
     if folder is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir or give a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="attesta-maps-")
-        folder = f"{base}/slot-maps/{uuid.uuid4().hex}"
+        folder = f"{checkpoint_folder(spark)}/slot-maps/{uuid.uuid4().hex}"
     rows = slotted(docs, key, text, slots)
-    sizes = [0] * slots
-    for r in slot_bytes(rows).collect():  # at most one row a slot
-        sizes[r["slot"]] = r["n_bytes"]
-    shards = min(slots, max(1, -(-sum(sizes) // shard_bytes)))
-    first = initial_map(slots, shards)
-    write_map(spark, folder, 1, first)
-    write_map(spark, folder, 2, rebalanced(first, sizes, shards, tolerance))
-    maps = read_map(spark, folder, 2).join(read_map(spark, folder, 1).withColumnRenamed("shard", "first_shard"), "slot")
-    return assign(rows, maps, slots).select(F.col("k").alias(key), "slot", "n_bytes", "first_shard", "shard", F.lit(2).alias("map_version"))
+    known = versions(spark, folder)
+    version = rebalance(rows, folder, slots, shard_bytes, tolerance)
+    first = known[-1] if known else 1
+    maps = read_map(spark, folder, version).join(read_map(spark, folder, first).withColumnRenamed("shard", "first_shard"), "slot")
+    return assign(rows, maps, slots).select(F.col("k").alias(key), "slot", "n_bytes", "first_shard", "shard", F.lit(version).alias("map_version"))
