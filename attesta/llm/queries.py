@@ -53,13 +53,18 @@ def op10_quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.threads(read(spark, sf_dir, "conversations"))
 
 
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of the same conversations with quotations put into them by rule; ``conversations`` itself has none."""
+    return quotes.threads(quotes.with_quotations(read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_nearest_vectors, op2_sampled_pieces, op3_toxic_documents, op4_quality_bands, op5_near_duplicates,
-        op6_line_chunks, op7_licences, op8_source_mix, op9_slot_shards, op10_quoted_threads,
+        op6_line_chunks, op7_licences, op8_source_mix, op9_slot_shards, op10_quoted_threads, quoted_conversations,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.sql(), "op10_quoted_threads": quotes.sql()}
+    return {"op8_source_mix": mixing.sql(), "op10_quoted_threads": quotes.sql(), "quoted_conversations": quotes.sql(quotes.with_quotations_sql())}

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import checkpointed, quoted
+from attesta.llm.common import checkpointed, forget, quoted
 
 #: Shortest normalised text, in characters, that a single line is linked by; whole passages are linked at any length.
 LEAST_LINE = 20
 _PREFIX = r"^((?:[ \t]*>)+)"
-_LEAD_IN = r"(?i)^.{0,200}\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
+_LEAD_IN = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
 
 def normalised(text: Column) -> Column:
@@ -75,14 +75,14 @@ def threads(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     conversation, which ties the two into one thread. In a thread messages stand by depth, then
     conversation and turn, so each comes after its parent.
 
-    A null text is an empty message. A message with a null conversation is one of its own, together
-    with its repetitions; null turns come first. Messages with equal turns stand by role, then text;
+    A null text is an empty message. A message whose conversation is null or no whole number is one of its own, together
+    with its repetitions; turns that are null or no whole numbers come first. Messages with equal turns stand by role, then text;
     repeated rows are so many messages. Other columns are not read. An empty table gives an empty one.
     """
     raw = messages.select(
-        quoted(conversation).cast("long").alias("conv"), quoted(turn).cast("long").alias("turn"), quoted(role).cast("string").alias("role"), quoted(text).cast("string").alias("t")
+        quoted(conversation).try_cast("long").alias("conv"), quoted(turn).try_cast("long").alias("turn"), quoted(role).cast("string").alias("role"), quoted(text).cast("string").alias("t")
     )
-    name = F.coalesce(F.col("conv").cast("string"), F.concat(F.lit("m:"), F.md5(F.concat_ws("|", F.col("turn").cast("string"), "role", "t"))))
+    name = F.coalesce(F.col("conv").cast("string"), F.concat(F.lit("m:"), F.md5(F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(x).cast("string")), F.lit("-")) for x in ("turn", "role", "t")]))))
     rank = F.coalesce(F.col("conv"), F.lit(2**63 - 1).cast("long"))
     order = Window.partitionBy("c").orderBy("turn", "role", "t")
     placed = raw.withColumn("c", name).withColumn("n", rank).withColumn("pos", F.row_number().over(order))
@@ -116,8 +116,12 @@ def threads(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
 
     # pointer jumping: the ancestor found so far and how far it is; each round doubles the distance
     jumps = tied.select("c", "pos", F.coalesce("pc", "c").alias("ac"), F.coalesce("pp", "pos").alias("ap"), F.when(F.col("pc").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    last = None
     while True:
         jumps = checkpointed(jumps)
+        if last is not None:
+            forget(last)
+        last = jumps
         above = jumps.select(F.col("c").alias("ac"), F.col("pos").alias("ap"), F.col("ac").alias("bc"), F.col("ap").alias("bp"), F.col("depth").alias("more"))
         ahead = jumps.join(above, ["ac", "ap"])
         if not ahead.where("more > 0").limit(1).count():
@@ -133,12 +137,35 @@ def threads(messages: DataFrame, conversation: str = "conv_id", turn: str = "tur
     )
 
 
+def with_quotations(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """The messages as mail would have them: each quotes the turn before it under a lead-in line, and in it the one
+    before that; every third turn quotes only the one before the last. A null text is quoted as an empty line."""
+    at = Window.partitionBy(quoted(conversation)).orderBy(quoted(turn), quoted(role), quoted(text))
+    marked = lambda mark, n: F.concat(F.lit(mark), F.replace(F.lag(F.coalesce(quoted(text), F.lit("")), n).over(at), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
+    wrote = F.concat(F.lit("On an earlier day "), F.coalesce(F.lag(quoted(role)).over(at), F.lit("somebody")), F.lit(" wrote:\n"))
+    deep, near = marked(">> ", 2), marked("> ", 1)
+    third = (F.row_number().over(at) % 3 == 0) & deep.isNotNull()
+    said = F.coalesce(quoted(text), F.lit(""))
+    whole = F.when(third, F.concat(marked("> ", 2), said)).when(near.isNotNull(), F.concat(wrote, F.coalesce(deep, F.lit("")), near, said)).otherwise(said)
+    return messages.select(quoted(conversation).alias("conv_id"), quoted(turn).alias("turn"), quoted(role).alias("role"), whole.alias("text"))
+
+
+def with_quotations_sql(table: str = "conversations") -> str:
+    """The same in DuckDB's SQL."""
+    marked = lambda mark, n: f"'{mark}' || replace(lag(coalesce(text, ''), {n}) OVER placed, chr(10), chr(10) || '{mark}') || chr(10)"
+    return f"""(SELECT conv_id, turn, role, CASE
+  WHEN row_number() OVER placed % 3 = 0 AND lag(coalesce(text, ''), 2) OVER placed IS NOT NULL THEN {marked("> ", 2)} || coalesce(text, '')
+  WHEN lag(coalesce(text, ''), 1) OVER placed IS NOT NULL THEN 'On an earlier day ' || coalesce(lag(role) OVER placed, 'somebody') || ' wrote:' || chr(10) || coalesce({marked(">> ", 2)}, '') || {marked("> ", 1)} || coalesce(text, '')
+  ELSE coalesce(text, '') END AS text
+FROM {table} WINDOW placed AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))"""
+
+
 def sql(table: str = "conversations") -> str:
     """The same in DuckDB's SQL."""
     norm = lambda x: rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return rf"""
 WITH RECURSIVE raw AS (SELECT CAST(conv_id AS BIGINT) AS conv, CAST(turn AS BIGINT) AS turn, role, text AS t FROM {table}),
-named AS (SELECT *, coalesce(CAST(conv AS VARCHAR), 'm:' || md5(concat_ws('|', turn, role, t))) AS c, coalesce(conv, 9223372036854775807) AS n FROM raw),
+named AS (SELECT *, coalesce(CAST(conv AS VARCHAR), 'm:' || md5(concat_ws('|', coalesce('=' || turn, '-'), coalesce('=' || role, '-'), coalesce('=' || t, '-')))) AS c, coalesce(conv, 9223372036854775807) AS n FROM raw),
 placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role NULLS FIRST, t NULLS FIRST) AS pos FROM named),
 cut AS (SELECT n, c, pos, string_split(regexp_replace(coalesce(t, ''), '\r\n?', chr(10), 'g'), chr(10)) AS parts FROM placed),
 each AS (SELECT n, c, pos, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM cut),

@@ -177,3 +177,22 @@ def test_threads_are_what_sql_says(spark):
     df = quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert sorted(names) == sorted(df.columns)
     assert sorted(repr(tuple(x[n] for n in names)) for x in df.collect()) == want
+
+
+def test_quotations_of_the_table_are_linked_as_sql_says(spark):
+    import duckdb
+
+    from attesta.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    r = con.execute(queries.oracle_sql()["quoted_conversations"])
+    names = [c[0] for c in r.description]
+    df = queries.quoted_conversations(spark, folder)
+    got = df.collect()
+    assert sorted(repr(tuple(x[n] for n in names)) for x in got) == sorted(map(repr, r.fetchall()))
+    links = [x["link"] for x in got]
+    assert links.count("quote") > 0.5 * len(links)
+    said = {(x["conv_id"], x["turn"]): x["text"] for x in spark.read.parquet(f"{folder}/conversations.parquet").collect()}
+    assert all(x["body"] == (said[x["conv_id"], x["turn"]] or "").strip() for x in got)
