@@ -16,12 +16,14 @@ its merge rank, p(r) = 1 / ((r + Q) H); nothing is trained. ``alpha`` smooths: w
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import mix64, quoted, unused
+from attesta.llm.common import mix64, narrow, quoted, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 0.5
@@ -285,10 +287,10 @@ def _groups(texts: list[str]):
 
 
 def row_seeds(keys: pa.Array, texts: list[str], seed: int) -> np.ndarray:
-    """By key; by the text's length and first characters' sum where the key is null."""
+    """By key; by a hash of the text where the key is null."""
     k = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     for i in np.flatnonzero(keys.is_null().to_numpy(zero_copy_only=False)):
-        k[i] = sum(texts[i].encode()) + len(texts[i]) * 1_000_003
+        k[i] = int.from_bytes(hashlib.blake2b(texts[i].encode(), digest_size=8).digest(), "little")
     return mix64(k * _MULTIPLIER + np.uint64(seed))
 
 
@@ -322,17 +324,16 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     """key, ids, n_tokens, n_bytes and lossless (the ids decode to the very bytes) of each row.
 
     A null text has nulls, an empty one no ids. Rows with equal key and text have equal ids; one with
-    a null key is drawn by its text. Any characters survive, the mark U+2581 itself too. Whole texts
+    a key that is null or no whole number is drawn by its text. Any characters survive, the mark U+2581 itself too. Whole texts
     are encoded. An empty table gives an empty one; other columns are not read.
     """
-    from attesta.llm.common import narrow
-
     out = narrow(docs, key, text).mapInArrow(lambda b: _encoded(b, model, alpha, seed), "k long, ids array<int>, n_tokens long, n_bytes long, lossless boolean")
     return out.withColumnRenamed("k", key)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
-    """``rows`` with the text of their ids in column ``text``; null ids give null, no ids ''."""
+    """``rows`` with the text of their ids in column ``text``, or ``text_1`` and so on if that is taken in any
+    case; null ids give null, no ids ''. An empty table gives an empty one."""
 
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
@@ -342,5 +343,4 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str =
             out.append(None if not x.is_valid else decode(v, np.asarray(x.values, np.int32)).tobytes().decode() if len(x.values) else "")
         return pa.array(out, pa.string())
 
-    name = unused(rows, "text")
-    return rows.withColumn(name if text in rows.columns else text, of(quoted(ids)))
+    return rows.withColumn(unused(rows, text), of(quoted(ids)))
