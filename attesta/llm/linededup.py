@@ -4,7 +4,8 @@ A unit is a line, with the blank lines after it; a long line is cut into pieces
 the least of its neighbourhood, so cuts depend on nearby words only and come back in step after an
 insertion. The hash of every two adjacent units rolls over the text. Where such a pair occurs anywhere
 before, byte for byte, both its units are marked; a stretch of marked units that holds enough words is
-removed. The first occurrence of every unit, by key and place, stays.
+removed. The first occurrence of every unit, by key and place, stays. A document most of whose words go
+because other documents have them is a copy with edits; what would be left are fragments, so it goes whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ WINDOW = 3
 MOST_WORDS = 32
 #: A stretch of repeated units with fewer words in all stays: short lines and phrases recur in any prose.
 LEAST_WORDS = 16
+#: A document goes if more than this share of its words is removed as another document's.
+MOST_COPIED = 0.5
 
 
 def chunks(array: pa.Array, window: int = WINDOW, most: int = MOST_WORDS):
@@ -116,7 +119,7 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64, **how) -> DataFrame:
-    """(k, gone): each document with repeated units, as runs (first unit, units).
+    """(k, gone): each document with repeated units, as runs (first unit, units, whether they stand first in another document).
 
     Hashes alone find the pairs of units that occur more than once; only their bytes, each run of
     them once, are then sent to be compared with the first occurrence's.
@@ -131,11 +134,12 @@ def repeated(docs: DataFrame, keyed: DataFrame, key: str = "doc_id", text: str =
     sent = keyed.join(asked, "k").select("k", "d", "wanted").mapInArrow(lambda b: _texts(b, text, how), "k long, i int, m int, k0 long, i0 int, chunk binary")
     lead = sent.where("k = k0 and i = i0").select("k0", "i0", "m", F.col("chunk").alias("c0"))
     gone = sent.where("k != k0 or i != i0").join(lead, ["k0", "i0", "m"]).where(F.col("chunk") == F.col("c0"))
-    return gone.groupBy("k").agg(F.collect_set(F.struct("i", "m")).alias("gone"))
+    return gone.groupBy("k").agg(F.collect_set(F.struct("i", "m", (F.col("k") != F.col("k0")).alias("far"))).alias("gone"))
 
 
-def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, **how) -> pa.Array:
-    """Each text without the runs of units listed, where they add up to stretches of ``least`` words; null stays null."""
+def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, copied: float = MOST_COPIED, **how) -> pa.Array:
+    """Each text without the runs of units listed, where they add up to stretches of ``least`` words; '' if more than the
+    share ``copied`` of its words goes as another document's; null stays null."""
     out: list = []
     for at, texts in steps(text):
         lists = gone.slice(at, len(texts)).to_pylist()
@@ -144,9 +148,10 @@ def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, **how) ->
         raw = data.tobytes()
         for r, x in enumerate(texts):
             lo, hi = edges[r], edges[r + 1]
-            drop = np.zeros(hi - lo + 2, bool)  # with a kept unit at either end
+            drop, far = np.zeros(hi - lo + 2, bool), np.zeros(hi - lo + 2, bool)  # with a kept unit at either end
             for g in lists[r] or ():
                 drop[g["i"] + 1 : g["i"] + g["m"] + 1] = True
+                far[g["i"] + 1 : g["i"] + g["m"] + 1] |= g["far"]
             drop[-1] = False
             change = np.flatnonzero(np.diff(drop))
             held = np.concatenate([[0], np.cumsum(words[lo:hi])])
@@ -156,6 +161,9 @@ def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, **how) ->
             if not drop.any():
                 out.append(x.as_py())
                 continue
+            if words[lo:hi][(drop & far)[1:-1]].sum() > copied * words[lo:hi].sum():
+                out.append("")
+                continue
             kept: list[bytes] = []
             for u, off in zip(range(lo, hi), drop[1:-1].tolist()):
                 part = raw[s[u] : e[u]]
@@ -170,7 +178,7 @@ def without(text: pa.Array, gone: pa.Array, least: int = LEAST_WORDS, **how) ->
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = None, least: int = LEAST_WORDS, bits: int = 64, **how) -> DataFrame:
     """The rows, with all their columns, without stretches of ``least`` words and more whose units each occur before
-    beside the same unit; emptied documents go.
+    beside the same unit; emptied documents, and those more than half of which other documents have, go.
 
     ``n_chars`` names a column that is set to the new length where the text changes. Rows with a null
     text, or a key that is null or no whole number, stay as they are, and so do empty texts. Rows

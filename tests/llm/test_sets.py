@@ -114,11 +114,13 @@ def plain_dedup(docs, least=linededup.LEAST_WORDS):
     for k, t in sorted(docs):
         _, _, words, s, e, bare, _, data = linededup.chunks(pa.array([t]))
         raw, n = data.tobytes(), len(s)
-        marked = [False] * n
+        marked, far = [False] * n, [False] * n
         for i in range(n - 1):
             pair = raw[s[i] : bare[i + 1]]
             if first.setdefault(pair, (k, i)) != (k, i):
                 marked[i] = marked[i + 1] = True
+                if first[pair][0] != k:
+                    far[i] = far[i + 1] = True
         i = 0
         while i < n:
             j = i
@@ -127,6 +129,8 @@ def plain_dedup(docs, least=linededup.LEAST_WORDS):
             if marked[i] and sum(words[i:j]) < least:
                 marked[i:j] = [False] * (j - i)
             i = j
+        if sum(w for w, m, f in zip(words, marked, far) if m and f) > linededup.MOST_COPIED * sum(words):
+            continue
         rest = b""
         for i in range(n):
             part = raw[s[i] : e[i]]
@@ -149,15 +153,25 @@ def test_line_dedup_of_the_small_table(spark):
     assert sum(want.get(k) != t for k, t in docs) > 5
 
 
+def test_copies_with_edits_go_whole_and_repetitive_documents_stay(spark):
+    rng = np.random.default_rng(12)
+    lines = [" ".join(f"w{rng.integers(0, 10**9)}" for _ in range(20)) for _ in range(12)]
+    edited = [*lines[:5], "an edited line of its own", *lines[6:]]
+    inner = ["own one " * 10, *lines[:0], *["spam and ham and eggs and so on and on " * 2] * 9]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(edited)), (3, "\n".join(inner))], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
+    assert set(got) == {1, 3} and got[1] == "\n".join(lines) and 0 < len(got[3]) < len("\n".join(inner))
+
+
 def test_short_repeats_stay_and_long_documents_are_quick():
     import time
 
     line = [f"{i} a line of text {i % 977}" for i in range(160_000)]
-    gone = [{"i": int(i), "m": 3} for i in range(0, 150_000, 5)]
+    gone = [{"i": int(i), "m": 3, "far": False} for i in range(0, 150_000, 5)]
     began = time.process_time()
     rest = linededup.without(pa.array(["\n".join(line)]), pa.array([gone]))[0].as_py().split("\n")
     assert time.process_time() - began < 8 and len(rest) == 160_000 - 90_000
-    assert linededup.without(pa.array(["a b\nc d\ne f"]), pa.array([[{"i": 0, "m": 2}]]))[0].as_py() == "a b\nc d\ne f"
+    assert linededup.without(pa.array(["a b\nc d\ne f"]), pa.array([[{"i": 0, "m": 2, "far": True}]]))[0].as_py() == "a b\nc d\ne f"
 
 
 def test_line_dedup_against_a_plain_version(spark):
