@@ -72,9 +72,19 @@ def last_modified(html: Column) -> Column:
     return F.coalesce(*[F.nullif(trimmed(F.regexp_extract(s, m, 1)), F.lit("")) for m in marks])
 
 
+#: Written dates, tried in turn after ISO ones; a weekday before them is passed over.
+DATES = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "yyyy/M/d", "M/d/yyyy")
+
+
+def read_date(text: Column) -> Column:
+    """A timestamp from ISO text, a mail or HTTP date, or a date written in English; else null."""
+    bare = F.regexp_replace(trimmed(text), "^[A-Za-z]{3,9},\\s*", "")
+    return F.coalesce(F.try_to_timestamp(trimmed(text)), *[F.try_to_timestamp(bare, F.lit(f)) for f in DATES])
+
+
 def freshness_days(modified: Column, now: Column) -> Column:
     """Whole days from a date text to now; 0 if unreadable or in the future."""
-    then = F.try_to_timestamp(modified)
+    then = read_date(modified)
     days = F.floor((F.unix_millis(F.try_to_timestamp(now)) - F.unix_millis(then)) / F.lit(86_400_000))
     return F.greatest(F.coalesce(days, F.lit(0)), F.lit(0)).cast("long")
 
@@ -92,9 +102,9 @@ def term_coverage(text: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(own, within)), F.size(own)), F.lit(0.0))
 
 
-def features(html: Column, now: Column, terms: Column, modified: Column | None = None) -> Column:
-    """A struct of the six features; an explicit date wins over the page's own."""
-    text = to_text(html)
+def features(html: Column, now: Column, terms: Column, modified: Column | None = None, text: Column | None = None) -> Column:
+    """A struct of the six features; an explicit date wins over the page's own, an explicit text over the one in the HTML."""
+    text = to_text(html) if text is None else F.coalesce(text, to_text(html))
     date = last_modified(html) if modified is None else F.coalesce(modified, last_modified(html))
     return F.struct(
         has_schema_markup(html).alias("schema_markup"),

@@ -34,16 +34,20 @@ def numeric_features(df: DataFrame, column: str, prefix: str) -> Column:
 
 
 def page_rollup(measurements: DataFrame, engine: str | None = None, window: str | None = None) -> DataFrame:
-    """Mean rate and interval of each page of each engine over its queries, clamped; ci_width not below 0."""
+    """Mean rate (clamped) and width of the mean interval of each page of each engine over its queries.
+
+    NaN counts as missing. A page without any finite rate is left out; without an interval its width is null.
+    """
     m = measurements
     if engine is not None:
         m = m.where(F.col("engine") == engine)
     if window is not None:
         m = m.where(F.col("window_tag") == window)
     m = m.withColumn("_url", keys.normalize_url(F.col("page_url")))
-    g = m.groupBy("engine", "_url").agg(F.avg("p_cited").alias("p"), F.avg("ci_low").alias("lo"), F.avg("ci_high").alias("hi"))
-    clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
-    return g.select("engine", "_url", clamp("p").alias("p_cited"), F.greatest(F.lit(0.0), clamp("hi") - clamp("lo")).alias("ci_width"))
+    mean = lambda c: F.avg(F.when(~F.isnan(c), F.col(c)))
+    g = m.groupBy("engine", "_url").agg(*[stats.finite(mean(c)).alias(n) for c, n in (("p_cited", "p"), ("ci_low", "lo"), ("ci_high", "hi"))]).where("p is not null")
+    width = F.col("hi") - F.col("lo")
+    return g.select("engine", "_url", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p"))).alias("p_cited"), F.when(width.isNotNull(), F.greatest(F.lit(0.0), width)).alias("ci_width"))
 
 
 def assembled(measurements: DataFrame, pages: DataFrame, companies: DataFrame, engine: str | None = None, window: str | None = None, on_duplicate: str = "all") -> DataFrame:
@@ -93,8 +97,8 @@ def table_summary(rows: DataFrame) -> DataFrame:
 
 
 def feature_names(rows: DataFrame, by: list[str]) -> DataFrame:
-    names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.map_keys("features")))))
-    return rows.groupBy(*by).agg(names.alias("features"))
+    names = rows.select(*by, F.explode(F.map_keys("features")).alias("_f")).distinct()
+    return names.groupBy(*by).agg(F.array_sort(F.collect_list("_f")).alias("features"))
 
 
 def split_kinds(columns: list[str]) -> dict[str, list[str]]:
@@ -116,6 +120,18 @@ def inheritance_violations(rows: DataFrame) -> DataFrame:
     return j.where(F.size("values") + lacks.cast("int") > 1).select("company_domain", "feature", "values", lacks.alias("some_null"))
 
 
+def written_back(jobs: DataFrame, fits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs as they stand after their results, fits to append): a job with a fit is done and holds it as JSON, others stay.
+
+    jobs: id, status, result, ... fits: job_id, category, engine, coefficients and whatever else a fit has.
+    """
+    body = fits.groupBy("job_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*[c for c in fits.columns if c != "job_id"])))).alias("_r"))
+    j = jobs.join(body.withColumnRenamed("job_id", "id"), "id", "left")
+    done = F.col("_r").isNotNull()
+    out = j.withColumns({"status": F.when(done, "done").otherwise(F.col("status")), "result": F.when(done, F.col("_r")).otherwise(F.col("result"))}).drop("_r")
+    return out, fits.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi").drop("job_id")
+
+
 def fit_requests(rows: DataFrame, customer: str, prior: str) -> DataFrame:
     """One request a (category, engine) as JSON, its rows nested; groups are never empty."""
     cells = F.sort_array(F.collect_list(F.struct("page_url", "company_domain", "p_cited", "ci_width", "label", F.to_json("features").alias("features"))))

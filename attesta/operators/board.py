@@ -15,24 +15,30 @@ BADGES = ("Measured", "Hypothesis", "Causal (experiment)")
 
 def citation_board(rows: DataFrame) -> DataFrame:
     """By engine: cited, total and the distinct domains of sources of cited rows."""
-    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("cited"), F.col("source_domains"))))))
-    return rows.groupBy("engine").agg(F.count_if("cited").alias("cited"), F.count("*").alias("total"), sources.alias("sources"))
+    g = rows.groupBy("engine").agg(F.count_if("cited").alias("cited"), F.count("*").alias("total"))
+    return g.join(_sources(rows.where("cited")), "engine", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+
+
+def _sources(rows: DataFrame) -> DataFrame:
+    """(engine, sources): distinct before they are gathered, so an engine's list is as long as its domains are many."""
+    return rows.select("engine", F.explode("source_domains").alias("_s")).distinct().groupBy("engine").agg(F.array_sort(F.collect_list("_s")).alias("sources"))
 
 
 def head_to_head(rows: DataFrame, own: Column, competitors: Column) -> DataFrame:
-    """By engine: one's own score, the most cited competitor (of equals the first seen), and all cited source domains.
+    """By engine: one's own score, every competitor's, the most cited one (of equals the first seen), and all source domains.
 
-    ``own`` and ``competitors``: a domain and an array of domains, columns of the rows or literals.
+    ``own`` and ``competitors``: a domain and an array of domains, columns of the rows or literals; ``own`` by its key.
     """
+    own = keys.normalize_domain(own)
     d = rows.withColumn("_d", keys.normalize_domain(F.col("page_url"))).withColumn("_own", F.col("_d") == own).withColumn("_rival", F.array_contains(competitors, F.col("_d")) & (F.col("_d") != own))
     you = d.groupBy("engine").agg(
         F.count_if(F.col("_own") & F.col("cited")).alias("you_cited"), F.count_if("_own").alias("you_total"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_domains")))).alias("sources"),
-    )
+    ).join(_sources(rows), "engine", "left")
     rival = d.where("_rival").groupBy("engine", "_d").agg(F.count_if("cited").alias("c"), F.count("*").alias("t"), F.min("_seq").alias("s"))
-    top = rival.groupBy("engine").agg(F.max(F.struct("c", (-F.col("s")).alias("o"), F.col("_d").alias("d"), "t")).alias("b"))
+    sides = F.array_sort(F.collect_list(F.struct(F.col("_d").alias("domain"), F.col("c").alias("cited"), F.col("t").alias("total"))))  # as many as there are competitors
+    top = rival.groupBy("engine").agg(F.max(F.struct("c", (-F.col("s")).alias("o"), F.col("_d").alias("d"), "t")).alias("b"), sides.alias("competitors"))
     out = you.join(top, "engine", "left")
-    r = out.select("engine", "you_cited", "you_total", F.col("b.d").alias("top_domain"), F.col("b.c").alias("top_cited"), F.col("b.t").alias("top_total"), "sources")
+    r = out.select("engine", "you_cited", "you_total", F.col("b.d").alias("top_domain"), F.col("b.c").alias("top_cited"), F.col("b.t").alias("top_total"), "competitors", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
     return r.withColumn("headline", headline(F.col("you_cited"), F.col("you_total"), F.col("top_domain"), F.col("top_cited"), F.col("top_total")))
 
 
@@ -124,6 +130,12 @@ def expire_stale(experiments: DataFrame, now: int) -> DataFrame:
     return experiments.withColumn("status", F.when(expired(F.col("status"), F.col("awaiting_since"), F.lit(now)), "expired").otherwise(F.col("status")))
 
 
+def with_baseline_tick(experiments: DataFrame, cycle: Column) -> DataFrame:
+    """The monthly baseline: ``baseline_runs`` of experiments still designing or awaiting goes up once a cycle."""
+    due = F.col("status").isin("designing", "awaiting_publish") & ~F.coalesce(F.col("last_baseline_cycle") == cycle, F.lit(False))
+    return experiments.withColumns({"baseline_runs": F.coalesce("baseline_runs", F.lit(0)) + due.cast("int"), "last_baseline_cycle": F.when(due, cycle).otherwise(F.col("last_baseline_cycle"))})
+
+
 def moved(experiments: DataFrame, events: DataFrame) -> DataFrame:
     """Experiments after one event each (id, to, ts): request, publish or complete; a step not allowed changes nothing."""
     e = experiments.join(events.select("id", "to", F.col("ts").alias("_ts")), "id", "left")

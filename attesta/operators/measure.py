@@ -80,11 +80,17 @@ def aggregate_runs(rows: DataFrame, by: list[str] = GROUP) -> DataFrame:
     )
 
 
+def focused(page_url: Column, focus: list[str]) -> Column:
+    """Whether a page's domain is among those in focus; domains are compared by key, empty ones match nothing."""
+    d = keys.normalize_domain(page_url)
+    return (d != "") & F.array_contains(F.transform(F.array(*[F.lit(f) for f in focus]).cast("array<string>"), keys.normalize_domain), d)
+
+
 def ambiguous(groups: DataFrame, by: list[str], threshold: float = 0.5, focus: list[str] | None = None) -> DataFrame:
     """Whether any group's interval straddles the threshold; of the focus domains only, if given."""
     inside = (F.col("ci_low") < threshold) & (F.col("ci_high") > threshold)
     if focus is not None:
-        inside = inside & keys.normalize_domain(F.col("page_url")).isin(*[f for f in focus]) if focus else F.lit(False)
+        inside = inside & focused(F.col("page_url"), focus)
     return groups.groupBy(*by).agg(F.bool_or(inside).alias("ambiguous"))
 
 
@@ -108,7 +114,7 @@ def flip_report(flips: DataFrame) -> DataFrame:
     """By engine: groups, too small groups, flipped ones, mean noise, and the unstable groups, worst first."""
     ok = F.col("k") >= 2
     mean = lambda c: F.coalesce(F.avg(F.when(ok, F.col(c))), F.lit(0.0))
-    bad = F.when(F.col("flipped"), F.struct((-F.col("minority_fraction")).alias("m"), (-F.col("entropy_bits")).alias("e"), "query_id", "page_url"))
+    bad = F.when(F.col("flipped"), F.struct((-F.col("minority_fraction")).alias("m"), (-F.col("entropy_bits")).alias("e"), "query_id", "page_url"))  # one a flipped group, which the report lists
     g = flips.groupBy("engine").agg(
         F.count_if(ok).alias("n_groups"), F.count_if(~ok).alias("n_insufficient"), F.count_if("flipped").alias("n_flipped"),
         mean("minority_fraction").alias("mean_minority"), mean("transition_rate").alias("mean_transition"), mean("entropy_bits").alias("mean_entropy"),

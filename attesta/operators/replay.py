@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import stats
+from attesta.operators.measure import focused
 
 FIRST, MOST, THRESHOLD = 3, 8, 0.5
 
 
-def stop_runs(rows: DataFrame, first: int = FIRST, most: int = MOST, threshold: float = THRESHOLD) -> DataFrame:
+def stop_runs(rows: DataFrame, first: int = FIRST, most: int = MOST, threshold: float = THRESHOLD, focus: list[str] | None = None) -> DataFrame:
     """stop_k of each (query, engine): the runs taken until no page's rate straddles the threshold.
 
     After each run from ``first`` on, the rate and interval of every page over the runs so far
-    are taken; sampling stops at the first run without doubt, or at ``most``.
+    are taken; sampling stops at the first run without doubt, or at ``most``. With ``focus`` only
+    pages of these domains raise doubt; an empty list means that none does.
     """
     w = Window.partitionBy("query_id", "engine", "page_url").orderBy("run_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n, s = F.count("*").over(w), F.count_if("cited").over(w)
     p = rows.where(F.col("run_idx") < most).select("query_id", "engine", "page_url", "run_idx", n.alias("n"), s.alias("s"))
     ci = stats.wilson(F.col("s"), F.col("n"))
     doubt = (ci["low"] < threshold) & (ci["high"] > threshold)
+    if focus is not None:
+        doubt = doubt & focused(F.col("page_url"), focus)
     run = p.groupBy("query_id", "engine", "run_idx").agg(F.bool_or(doubt).alias("doubt"))
     done = F.when((F.col("run_idx") + 1 >= first) & ~F.col("doubt"), F.col("run_idx") + 1)
     return run.groupBy("query_id", "engine").agg(F.coalesce(F.min(done), F.max(F.col("run_idx") + 1)).cast("long").alias("stop_k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions import keys
+from attesta.functions import keys, stats
 from attesta.schemas import SUBJECTIVE
 
 _ANNOTATION = "struct<type:string,url:string,title:string>"
@@ -57,12 +57,16 @@ def json_block(raw: Column) -> Column:
 
 
 def subjective_features(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``subjective``, rejects): a flag and four numbers; numbers may be written as text."""
-    j = F.from_json(json_block(F.col(raw)), "map<string,string>")
-    flag = F.when(j["direct_answer_first"].isin("true", "false"), j["direct_answer_first"] == "true")
-    number = lambda name: F.when(F.abs(j[name].try_cast("double")) < float("inf"), j[name].try_cast("double"))
-    shape = F.lower(F.trim(j["listicle_vs_prose"]))
-    form = F.when(shape == "listicle", 0.0).when(shape == "prose", 1.0).when(shape == "mixed", 0.5).otherwise(number("listicle_vs_prose"))
+    """(rows with ``subjective``, rejects): a true flag, three finite numbers, which may be written as text, and the
+    form as one of three words or 0, 1 or 0.5; anything else is a reject."""
+    j = F.try_parse_json(json_block(F.col(raw)))
+    got = lambda name, kind: F.try_variant_get(j, f"$.{name}", kind)
+    kind = lambda name: F.schema_of_variant(got(name, "variant"))
+    is_number = lambda name: kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    flag = F.when(kind("direct_answer_first") == "BOOLEAN", got("direct_answer_first", "boolean"))
+    number = lambda name: F.when(is_number(name) | (kind(name) == "STRING"), stats.finite(got(name, "string")))
+    word, value = got("listicle_vs_prose", "string"), got("listicle_vs_prose", "double")
+    form = F.when(kind("listicle_vs_prose") == "STRING", F.when(word == "listicle", 0.0).when(word == "prose", 1.0).when(word == "mixed", 0.5)).when(is_number("listicle_vs_prose") & value.isin(0.0, 0.5, 1.0), value)
     s = F.struct(flag.alias("direct_answer_first"), number("stats_density").alias("stats_density"), number("citation_density").alias("citation_density"), number("quote_density").alias("quote_density"), form.alias("listicle_vs_prose"))
     got = df.withColumn("subjective", s)
     whole = F.lit(True)
@@ -83,11 +87,12 @@ def understanding(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
 
 
 def expanded_queries(raw: Column) -> Column:
-    """A JSON list of strings, in a code fence or not; else its lines without bullets and numbers."""
+    """The texts of a JSON list, in a code fence or not; else its lines without the bullets and numbers that a blank follows."""
     s = keys.trimmed(F.regexp_replace(F.coalesce(raw, F.lit("")), "(?m)^\\s*```[a-zA-Z]*\\s*$", ""))
-    listed = F.when(s.startswith("["), F.from_json(s, "array<string>"))
-    lines = F.transform(F.split(s, "\r?\n"), lambda x: F.regexp_replace(keys.trimmed(x), "^(?:[-*•]|[0-9]+[.)])\\s*", ""))
-    return F.filter(F.transform(F.coalesce(listed, lines), keys.trimmed), lambda x: x != "")
+    items = F.try_variant_get(F.try_parse_json(s), "$", "array<variant>")
+    listed = F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    lines = F.transform(F.split(s, "\r?\n"), lambda x: keys.trimmed(F.regexp_replace(x, "^[\\s>]*(?:[-*•]|[0-9]+[.)])\\s+", "")))
+    return F.filter(F.coalesce(listed, lines), lambda x: keys.trimmed(x) != "")
 
 
 def tech_stack(listed: Column, text: Column) -> Column:

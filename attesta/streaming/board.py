@@ -25,8 +25,24 @@ def rates(stream: DataFrame) -> DataFrame:
 
 def board(stream: DataFrame) -> DataFrame:
     """Cited, total and source domains of cited runs by engine so far."""
-    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("cited"), F.col("source_domains"))))))
-    return stream.groupBy("engine").agg(F.count_if("cited").alias("cited"), F.count("*").alias("total"), sources.alias("sources"))
+    first = F.posexplode_outer(F.when(F.col("cited"), F.col("source_domains"))).alias("i", "source")
+    one = stream.select("engine", "cited", first)
+    head = F.coalesce(F.col("i"), F.lit(0)) == 0  # a run counts once, each of its sources is a member
+    return one.groupBy("engine").agg(F.count_if(head & F.col("cited")).alias("cited"), F.count_if(head).alias("total"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def sides(stream: DataFrame, own: str, competitors: list[str]) -> DataFrame:
+    """Cited and total by engine and side ('you' or a competitor's domain) so far; the sides merge by adding."""
+    from attesta.functions import keys
+
+    d = keys.normalize_domain(F.col("page_url"))
+    side = F.when(d == keys.normalize_domain(F.lit(own)), "you").when(F.array_contains(F.array(*[F.lit(c) for c in competitors]).cast("array<string>"), d), d)
+    return stream.withColumn("side", side).where("side is not null").groupBy("engine", "side").agg(F.count_if("cited").alias("cited"), F.count("*").alias("total"))
+
+
+def iso_week(start) -> object:
+    """'2025-W01' of the Monday that a week starts on: the year is its Thursday's."""
+    return F.format_string("%d-W%02d", F.year(F.date_add(start.cast("date"), 3)), F.weekofyear(start))
 
 
 def weekly(stream: DataFrame, late: str = "14 days") -> DataFrame:

@@ -46,7 +46,7 @@ def test_hashes(spark):
 
 
 def test_registered_functions_agree(spark):
-    assert len(register(spark)) == 5
+    assert len(register(spark)) == 7
     for d, want in DOMAINS.items():
         if d and " " not in d:
             assert spark.sql("select cite_domain(:d) x", args={"d": d}).first()["x"] == want
@@ -100,3 +100,32 @@ def test_small_statistics(spark):
     assert column(spark, ["1.5", "x", "NaN", "Infinity", None], stats.finite) == [1.5, None, None, None, None]
     assert column(spark, [0.333, None], lambda c: stats.rate_with_interval(c, F.lit(0.12), F.lit(0.61)), "double") == ["33% (CI 12%–61%)", "—"]
     assert all(abs(x) <= 0.05 for x in column(spark, ["a", "b", None], keys.jitter))
+
+
+def test_sql_functions_agree_on_blanks_astral_letters_and_addresses(spark):
+    register(spark)
+    rows = [("\u00a0 https://www.Acme.com/a/?utm_source=x&b=2&a=1#f \ufeff",), ("😀 é x",), ("HTTP://x.co.uk:80/",), ("",), (None,), ("//y.org/p//?gclid=1",)]
+    df = spark.createDataFrame(rows, "x string")
+    df.createOrReplaceTempView("given")
+    u = F.col("x")
+    want = df.select(keys.normalize_domain(u), keys.normalize_url(u), keys.fnv1a(u)).collect()
+    got = spark.sql("select cite_domain(x), cite_url(x), cite_fnv1a(x) from given").collect()
+    assert list(map(tuple, got)) == list(map(tuple, want))
+    one = spark.sql("select cite_flip_rate(array(true, false, false, true)) a, cite_flip_rate(array(true)) b, cite_flip_rate(cast(array() as array<boolean>)) c").first()
+    assert (round(one["a"], 6), one["b"], one["c"]) == (0.666667, 0.0, 0.0)
+
+
+def test_written_dates_are_read(spark):
+    from attesta.functions import html
+
+    texts = ["Wed, 21 Oct 2015 07:28:00 GMT", "October 21, 2015", "Oct 21, 2015", "21 October 2015", "2015-10-21T09:28:00+02:00", "2015/10/21", "someday", None]
+    got = spark.createDataFrame([(t,) for t in texts], "m string").select(html.freshness_days(F.col("m"), F.lit("2015-10-31T08:00:00Z")).alias("d")).collect()
+    assert [r["d"] for r in got] == [10] * 6 + [0, 0]
+
+
+def test_a_given_text_wins_over_the_page(spark):
+    from attesta.functions import html
+
+    f = html.features(F.lit("<p>one two</p><h1>x</h1>"), F.lit("2026-01-01"), F.array(F.lit("red")), text=F.col("t"))
+    got = spark.createDataFrame([("red green blue blue",), (None,)], "t string").select(f.alias("f")).collect()
+    assert [(r["f"]["word_count"], r["f"]["query_term_coverage"], r["f"]["heading_structure"]) for r in got] == [(4.0, 1.0, 1.0), (3.0, 0.0, 1.0)]

@@ -84,7 +84,7 @@ def test_responses(spark):
     ok, bad = responses.understanding(u, "raw")
     assert ok.first()["card"] == ["one", "one", "w", "c"] and bad.count() == 1
     q = frame(spark, [(1, '```json\n["a", " b "]\n```'), (2, "1. one\n- two\n\n* three"), (3, None)], "i int, raw string").select("i", responses.expanded_queries(F.col("raw")).alias("q")).orderBy("i").collect()
-    assert [r["q"] for r in q] == [["a", "b"], ["one", "two", "three"], []]
+    assert [r["q"] for r in q] == [["a", " b "], ["one", "two", "three"], []]
     e = frame(spark, [("HTTP 429",), ("HTTP 503",), ("fetch FAILED",), ("ETIMEDOUT",), ("1500 ms",), (None,)], "m string").select(responses.retryable(F.col("m")).alias("r")).collect()
     assert [r["r"] for r in e] == [True, True, True, True, False, False] and responses.retry_delays() == [500, 1000, 2000]
     t = frame(spark, [(None, "a, b,,"), ([" "], None)], "l array<string>, s string").select(responses.tech_stack(F.col("l"), F.col("s")).alias("x")).collect()
@@ -362,3 +362,54 @@ def test_json_records_and_enrichment(spark, tmp_path):
     assert tuple(out["b.com"]["firmographics"]) == ("11-50", None, None, None, ["a", "b"]) and out["b.com"]["coverage_flags"] == [] and out["b.com"]["source_versions"] == {"firmographics": "v2"}
     s = spark.range(1).select(*[sourcing.extractor_stamp("v1", F.lit(a), F.lit(b)).alias(f"x{i}") for i, (a, b) in enumerate([(False, False), (True, True), (True, False)])]).first()
     assert tuple(s) == ("v1", "v1+subj", "v1+subj-err")
+
+
+def test_a_page_without_a_finite_rate_is_left_out(spark):
+    rows = [("e", "a.com/1", None, 0.1, 0.3), ("e", "a.com/1", float("nan"), 0.1, 0.3), ("e", "b.com/1", 0.4, 0.1, 0.5), ("e", "b.com/1", float("nan"), None, None), ("e", "c.com", 1.5, None, None), ("e", "d.com", 0.5, -0.5, 1.5)]
+    df = frame(spark, rows, "engine string, page_url string, p_cited double, ci_low double, ci_high double").withColumn("window_tag", F.lit("w"))
+    got = {r["_url"]: (r["p_cited"], r["ci_width"]) for r in assembly.page_rollup(df).collect()}
+    assert got == {"https://b.com/1": (0.4, 0.4), "https://c.com": (1.0, None), "https://d.com": (0.5, 2.0)}
+
+
+def test_expansion_keeps_numbers_that_belong_to_the_query(spark):
+    raw = "3.5 inch screens\n2.0 update tips\n-5 degrees\n> 1) cheap crm\n• best crm\n 12. list"
+    got = frame(spark, [(raw,), ('[1, "a", null, " "]',), ('```json\n["x"]\n```',), ("[broken",)], "raw string").select(responses.expanded_queries(F.col("raw")).alias("q")).collect()
+    assert [r["q"] for r in got] == [["3.5 inch screens", "2.0 update tips", "-5 degrees", "cheap crm", "best crm", "list"], ["a"], ["x"], ["[broken"]]
+
+
+def test_judged_features_of_the_wrong_kind_are_rejects(spark):
+    j = lambda flag, form, n="1": f'{{"direct_answer_first": {flag}, "stats_density": {n}, "citation_density": 1, "quote_density": "2", "listicle_vs_prose": {form}}}'
+    rows = [(1, j("true", '"mixed"')), (2, j('"true"', '"mixed"')), (3, j("false", "0.3")), (4, j("false", '" Listicle "')), (5, j("false", "0")), (6, j("true", "1", '"x"')), (7, j("true", '"0.5"')), (8, j("true", "null")), (9, j("true", "0.5", "true"))]
+    good, bad = responses.subjective_features(frame(spark, rows, "i int, raw string"), "raw")
+    assert {r["i"]: r["subjective"]["listicle_vs_prose"] for r in good.collect()} == {1: 0.5, 5: 0.0} and bad.count() == 7
+
+
+def test_focus_is_by_domain_key(spark):
+    g = frame(spark, [("e", "https://acme.com/x", 0.2, 0.8), ("e", "https://b.com/x", 0.9, 1.0)], "engine string, page_url string, ci_low double, ci_high double")
+    of = lambda focus: measure.ambiguous(g, ["engine"], focus=focus).first()["ambiguous"]
+    assert of(None) and of(["http://www.Acme.com/"]) and not of(["b.com"]) and not of([]) and not of(["", " "])
+
+
+def test_weeks_across_the_turn_of_a_year(spark):
+    from attesta.streaming import board as streams
+
+    got = frame(spark, [("2024-12-30",), ("2026-12-28",), ("2027-01-04",)], "d string").select(streams.iso_week(F.col("d").cast("timestamp")).alias("w")).collect()
+    assert [r["w"] for r in got] == ["2025-W01", "2026-W53", "2027-W01"]
+
+
+def test_greedy_pairs_against_a_plain_version(spark):
+    import random
+
+    rng = random.Random(4)
+    pages = [(e, f"p{i:02d}", f"c{i % 7}", round(rng.random(), 2), rng.choice([None, "prose", "listicle"]), [f"q{i % 4}"], f"q{i % 4}") for e in ("a", "b") for i in range(40)]
+    df = frame(spark, pages, "engine string, page_url string, company_domain string, p_cited double, content string, queries array<string>, cluster string")
+    got = {(r["engine"], r["treatment_page"], r["control_page"]) for r in matching.matched(df).collect()}
+    want = set()
+    for e in ("a", "b"):
+        own, used = sorted(p for p in pages if p[0] == e), set()
+        for a in own:
+            fits = [(a[2] == b[2], abs(a[3] - b[3]), b[1]) for b in own if b[1] != a[1] and b[1] not in used and abs(a[3] - b[3]) <= 0.15 and (a[4] is None or b[4] is None or a[4] == b[4]) and not set(a[5]) & set(b[5])]
+            if a[1] not in used and fits:
+                used |= {a[1], min(fits)[2]}
+                want.add((e, a[1], min(fits)[2]))
+    assert got == want and len(got) > 10
