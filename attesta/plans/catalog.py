@@ -65,10 +65,10 @@ def flip_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FLIPS + """ SELECT engine, count(*) FILTER (k >= 2) AS n_groups, count(*) FILTER (k < 2) AS n_insufficient, count(*) FILTER (flipped) AS n_flipped,
   round(count(*) FILTER (flipped) / count(*) FILTER (k >= 2), 6) AS flip_fraction, round(coalesce(avg(minority) FILTER (k >= 2), 0), 6) AS mean_minority,
   round(coalesce(avg(transition) FILTER (k >= 2), 0), 6) AS mean_transition, round(coalesce(avg(entropy) FILTER (k >= 2), 0), 6) AS mean_entropy,
-  CAST(count(*) FILTER (flipped) AS INT) AS n_unstable FROM f GROUP BY engine""")
+  coalesce(array_to_string(list(query_id || '|' || page_url ORDER BY minority DESC, entropy DESC, query_id, page_url) FILTER (flipped), ','), '') AS unstable FROM f GROUP BY engine""")
 def flip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = measure.flip_report(measure.flip_rates(runs(spark, sf_dir)))
-    return f.select("engine", "n_groups", "n_insufficient", "n_flipped", r6("flip_fraction"), r6("mean_minority"), r6("mean_transition"), r6("mean_entropy"), F.size("unstable").alias("n_unstable"))
+    return f.select("engine", "n_groups", "n_insufficient", "n_flipped", r6("flip_fraction"), r6("mean_minority"), r6("mean_transition"), r6("mean_entropy"), F.array_join("unstable", ",").alias("unstable"))
 
 
 @query(f"""WITH {RUNS}, v AS (SELECT query_id, engine, model_version, min(_seq) AS seen FROM runs GROUP BY ALL)
@@ -356,10 +356,14 @@ def citation_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RUNS}, s AS (SELECT engine, regexp_extract(page_url, 'site[0-9]', 0) || '.com' AS d, count(*) FILTER (cited) AS c, count(*) AS t, min(_seq) AS s FROM runs GROUP BY ALL),
 top AS (SELECT engine, arg_max(d, c * 1000000000 - s) AS top_domain, arg_max(c, c * 1000000000 - s) AS top_cited, arg_max(t, c * 1000000000 - s) AS top_total FROM s WHERE d <> 'site0.com' GROUP BY engine)
-SELECT engine, c AS you_cited, t AS you_total, top_domain, top_cited, top_total, 'you ' || c || ' / ' || t || ' · top competitor ' || top_domain || ' ' || top_cited || '/' || top_total AS headline
+SELECT engine, c AS you_cited, t AS you_total, top_domain, top_cited, top_total,
+  (SELECT string_agg(d || ':' || c || '/' || t, ',' ORDER BY d) FROM s r WHERE r.engine = s.engine AND d <> 'site0.com') AS competitors,
+  (SELECT string_agg(DISTINCT source_domain, ',' ORDER BY source_domain) FROM runs r WHERE r.engine = s.engine) AS sources, 'you ' || c || ' / ' || t || ' · top competitor ' || top_domain || ' ' || top_cited || '/' || top_total AS headline
 FROM s JOIN top USING (engine) WHERE d = 'site0.com'""")
 def head_to_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return board.head_to_head(runs(spark, sf_dir), F.lit("site0.com"), F.array(F.lit("site1.com"), F.lit("site2.com"))).drop("sources")
+    h = board.head_to_head(runs(spark, sf_dir), F.lit("https://www.Site0.com/"), F.array(F.lit("site1.com"), F.lit("site2.com")))
+    sides = F.transform("competitors", lambda s: F.concat(s["domain"], F.lit(":"), s["cited"].cast("string"), F.lit("/"), s["total"].cast("string")))
+    return h.withColumn("competitors", F.array_join(sides, ",")).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("""SELECT 'w' || r_regionkey AS workspace_id, CAST(CASE WHEN r_regionkey = 0 THEN 2 WHEN r_regionkey IN (1, 2) THEN 1 ELSE 0 END AS INT) AS rung,
@@ -453,7 +457,10 @@ def company_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.join(flags, "domain").join(off, "domain")
 
 
-@query("""SELECT CAST(50 AS BIGINT) AS n, (SELECT count(*) FROM nation WHERE n_nationkey % 12 = 0) + 0 AS n_low, true AS passed""")
+@query("""WITH c AS (SELECT 'company' AS kind, 'site' || n_nationkey || '.com' AS key, list_filter([CASE WHEN n_nationkey % 3 = 0 THEN 'firmographics' END, CASE WHEN n_nationkey % 4 = 0 THEN 'offpage' END], lambda x: x IS NOT NULL) AS missing, 3 AS families FROM nation
+UNION ALL SELECT 'page', 'HTTPS://www.site' || n_nationkey || '.com/p/?utm_source=x', list_filter([CASE WHEN n_nationkey % 6 = 0 THEN 'subjective_features' END], lambda x: x IS NOT NULL), 2 FROM nation),
+r AS (SELECT *, 1 - len(missing) / families AS score FROM c)
+SELECT count(*) AS n, count(*) FILTER (score < 0.5) AS n_low, count(*) = 2 * (SELECT count(*) FROM nation) AS passed FROM r""")
 def coverage_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p = companies(spark, sf_dir), pages(spark, sf_dir)
     return sourcing.coverage_passed(sourcing.coverage_sweep(c, p), c, p)
@@ -476,7 +483,7 @@ def tolerance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- modelling, design, lift
 
 
-@query(f"""WITH {tables.wide_runs_sql()} SELECT engine, page_url, round(avg(p_cited), 6) AS p_cited, round(greatest(0, least(1, avg(ci_high)) - greatest(0, avg(ci_low))), 6) AS ci_width FROM measurements GROUP BY ALL""")
+@query(f"""WITH {tables.wide_runs_sql()} SELECT engine, page_url, round(avg(p_cited), 6) AS p_cited, round(greatest(0, avg(ci_high) - avg(ci_low)), 6) AS ci_width FROM measurements GROUP BY ALL""")
 def page_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.page_rollup(measurements(spark, sf_dir)).select("engine", F.col("_url").alias("page_url"), r6("p_cited"), r6("ci_width"))
 
@@ -487,12 +494,12 @@ def modeling_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.table_summary(assembly.modeling_rows(measurements(spark, sf_dir), pages(spark, sf_dir), companies(spark, sf_dir)))
 
 
-@query("""WITH v AS (SELECT l_suppkey, count(DISTINCT l_linenumber) AS a, count(*) AS n FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY l_suppkey)
-SELECT 'c' || l_suppkey AS company_domain, 'company__line' AS feature, CAST(a AS INT) AS n_values FROM v WHERE a > 1""")
+@query("""WITH v AS (SELECT l_suppkey, list_sort(list(DISTINCT CAST(l_linenumber AS DOUBLE))) AS a FROM lineitem WHERE l_suppkey % 7 = 0 GROUP BY l_suppkey)
+SELECT 'c' || l_suppkey AS company_domain, 'company__line' AS feature, a AS "values", false AS some_null FROM v WHERE len(a) > 1""")
 def feature_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("l_suppkey").cast("string")
     rows = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 = 0").select(F.concat(F.lit("c"), s).alias("company_domain"), F.create_map(F.lit("company__line"), F.col("l_linenumber").cast("double"), F.lit("company__id"), F.col("l_suppkey").cast("double"), F.lit("page__q"), F.col("l_quantity")).alias("features"))
-    return assembly.inheritance_violations(rows).select("company_domain", "feature", F.size("values").alias("n_values"))
+    return assembly.inheritance_violations(rows)
 
 
 @query("""SELECT a.s_nationkey % 5 AS engine, a.s_suppkey AS a, b.s_suppkey AS b, round(abs(a.p - b.p), 6) AS gap
@@ -572,7 +579,7 @@ def baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def horseshoe_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.fitted(_model_rows(spark, sf_dir).where("engine in ('click', 'view')"), "horseshoe", draws=200, tune=200, chains=1)
+    return fit.fitted(_model_rows(spark, sf_dir), "horseshoe")
 
 
 @query()
@@ -580,11 +587,6 @@ def top_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.payload(baseline_fit(spark, sf_dir))
 
 
-@query()
-def dummy_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit.dummy(_model_rows(spark, sf_dir))
-
-
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'rung' WHEN 2 THEN 'verdict' ELSE 'ci_order,inconclusive_as_worked' END AS violations FROM orders""")
 def lift_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
@@ -607,18 +609,21 @@ def ladder_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey % 3 WHEN 0 THEN 'tier1_page_edit' WHEN 1 THEN 'tier3_partner_referral' ELSE 'tier2_playbook' END AS tier,
-  CAST(CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 3 END AS INT) AS n_steps FROM part""")
+  CAST(CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 3 END AS INT) AS n_steps, CASE p_partkey % 3 WHEN 0 THEN 'page__stats_density' WHEN 1 THEN 'company__backlink_density' ELSE 'company__g2_presence' END AS feature FROM part""")
 def delivery_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 3
     name = F.when(k == 0, "page__stats_density").when(k == 1, "company__backlink_density").otherwise("company__g2_presence")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), fit.sentence(name, F.lit(1.0)).alias("text"))
-    return audit.deliveries(rows, "text").select("id", "tier", F.size("steps").alias("n_steps"))
+    return audit.deliveries(rows, "text").select("id", "tier", F.size("steps").alias("n_steps"), audit.feature_in(F.col("text")).alias("feature"))
 
 
-@query("""SELECT p_brand AS vertical, count(DISTINCT lower(p_name || ' ' || p_type || ' ' || (p_partkey % 40))) AS n_queries FROM part WHERE p_brand = 'Brand#2' GROUP BY p_brand""")
+@query("""WITH o AS (SELECT lower(p_name || ' ' || p_type || ' ' || (p_partkey % 40)) AS t, arg_min(p_partkey % 4, p_partkey) AS s FROM part WHERE p_brand = 'Brand#2' GROUP BY 1),
+c AS (SELECT count(*) AS n_queries, count(*) FILTER (s < 2) AS n_real, (SELECT count(*) FROM part WHERE p_brand <> 'Brand#2') AS n_foreign, CAST(1 AS BIGINT) AS n_targets FROM o)
+SELECT 'Brand#2' AS vertical, *, round(coalesce(n_real / nullif(n_queries, 0), 0), 6) AS real_ratio, array_to_string(list_filter([CASE WHEN n_foreign > 0 THEN 'foreign_vertical' END,
+  CASE WHEN n_queries < 50 THEN 'too_few_queries' END, CASE WHEN coalesce(n_real / nullif(n_queries, 0), 0) < 0.4 THEN 'too_few_real' END], lambda x: x IS NOT NULL), ',') AS issues FROM c""")
 def vertical_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spark.createDataFrame([("Brand#2", "cms")], "vertical string, name string")
-    return sourcing.vertical_pack(_seeds(spark, sf_dir), targets, "Brand#2").select(F.lit("Brand#2").alias("vertical"), "n_queries")
+    return sourcing.vertical_pack(_seeds(spark, sf_dir), targets, "Brand#2").select(F.lit("Brand#2").alias("vertical"), "n_queries", "n_real", "n_foreign", "n_targets", r6("real_ratio"), F.array_join("issues", ",").alias("issues"))
 
 
 @query("""SELECT event_type AS engine, strftime(ts, '%G-W%V') AS week, count(*) AS n FROM events GROUP BY ALL""")
@@ -631,4 +636,7 @@ def stream_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.select(F.col("event_type").alias("engine"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 100).alias("cited"))
     name = f"weekly_{uuid.uuid4().hex}"
     streams.weekly(s).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("engine", F.concat(F.date_format("week.start", "yyyy"), F.lit("-W"), F.lpad(F.weekofyear("week.start").cast("string"), 2, "0")).alias("week"), "n")
+    return spark.table(name).select("engine", streams.iso_week(F.col("week.start")).alias("week"), "n")
+
+
+from attesta.plans import more  # noqa: E402, F401  (adds its queries to QUERIES and SQL)
