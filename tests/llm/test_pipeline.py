@@ -32,6 +32,22 @@ def test_stages_keep_clean_documents_and_drop_planted_ones(spark):
     assert all(r["lossless"] for r in df.collect())
 
 
+def test_stages_take_awkward_rows(spark, odd):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns, no rows at all."""
+    df, kept = odd, {}
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, "")
+        kept[name] = sorted(str(r["doc_id"]) for r in df.collect())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert df.columns == odd.columns
+    assert kept["quality_rules"] == ["1", "1", "6", "7", "8", "None"] and kept["line_dedup"] == ["1", "1", "6", "7", "8", "None"]
+    assert kept["near_dedup"] == ["1", "6", "8", "None"] and set(kept["mix_sources"]) <= {"1", "6", "8"} and kept["sentence_pieces"] == kept["mix_sources"]
+    empty = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "")
+        assert empty.count() == 0
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names if n.startswith("op")] == list(range(1, 11))
