@@ -413,3 +413,35 @@ def test_greedy_pairs_against_a_plain_version(spark):
                 used |= {a[1], min(fits)[2]}
                 want.add((e, a[1], min(fits)[2]))
     assert got == want and len(got) > 10
+
+
+def test_pairing_never_lists_the_edges(spark, monkeypatch):
+    """Thousands of pages of one rate: their edges are millions, and the pairs are found without them."""
+    monkeypatch.setattr(matching, "edges", lambda *a, **k: pytest.fail("edges were listed"))
+    pages = frame(spark, [("e", f"p{i:05d}", f"c{i % 2}", 0.5, None, [f"q{i % 2}"], f"q{i % 2}") for i in range(6000)], "engine string, page_url string, company_domain string, p_cited double, content string, queries array<string>, cluster string")
+    got = [(r["treatment_page"], r["control_page"]) for r in matching.matched(pages).orderBy("pair").collect()]
+    assert got == [(f"p{i:05d}", f"p{i + 1:05d}") for i in range(0, 6000, 2)]
+    assert len(matching.designed(matching.matched(pages, max_pairs=8), "x", "cust").first()["pairs"]) == 8
+
+
+def test_pairing_of_odd_pages_against_a_plain_version():
+    import random
+
+    from attesta.operators.matching import _pair_up
+
+    def unfit(a, b):  # as arrays_overlap, where null may be any query
+        return bool(a and b and (a & b or None in a or None in b))
+
+    rng = random.Random(5)
+    for _ in range(300):
+        n, q, digits = rng.randint(1, 100), rng.choice([1, 2, 30]), rng.choice([1, 2, 17])
+        companies = [None, "a", "b"][: rng.randint(1, 3)]
+        own = [(f"p{i:03d}", rng.choice(companies), round(rng.random(), digits), rng.choice([None, None, "prose", "listicle"]), frozenset(rng.sample([None, *(f"q{j}" for j in range(q))], rng.randint(0, min(q, 2))))) for i in range(n)]
+        used, want = set(), []
+        for a in own:
+            fits = [(2 if a[1] is None or b[1] is None else int(a[1] == b[1]), abs(a[2] - b[2]), b[0]) for b in own if b[0] != a[0] and b[0] not in used and abs(a[2] - b[2]) <= 0.15 and (a[3] is None or b[3] is None or a[3] == b[3]) and not unfit(a[4], b[4])]
+            if a[0] not in used and fits:
+                used |= {a[0], min(fits)[2]}
+                want.append((a[0], min(fits)[2], min(fits)[1]))
+        rng.shuffle(own)
+        assert _pair_up(own, 0.15, None) == want and _pair_up(own, 0.15, 2) == want[:2]
