@@ -445,3 +445,16 @@ def test_pairing_of_odd_pages_against_a_plain_version():
                 want.append((a[0], min(fits)[2], min(fits)[1]))
         rng.shuffle(own)
         assert _pair_up(own, 0.15, None) == want and _pair_up(own, 0.15, 2) == want[:2]
+
+
+def test_edges_of_a_common_rate_are_spread_over_tasks(spark):
+    """All pages at one rate or near it: the pairs are found by many tasks, and all of them."""
+    pages = frame(spark, [("e", f"p{i}", "c", 0.5 if i < 2400 else 0.5 + (i - 2400) / 1000, None, [f"q{i % 2}"], "q") for i in range(2700)], "engine string, page_url string, company_domain string, p_cited double, content string, queries array<string>, cluster string")
+    e = matching.edges(pages)
+    rates = [0.5 if i < 2400 else 0.5 + (i - 2400) / 1000 for i in range(2700)]
+    x = np.array(rates)
+    own = np.arange(2700) % 2
+    assert e.count() == int(((np.abs(x[:, None] - x[None, :]) <= 0.15) & (own[:, None] != own[None, :])).sum())
+    shares = sorted((r["count"] for r in e.groupBy(F.spark_partition_id()).count().collect()), reverse=True)
+    assert len(shares) > 1 and shares[0] < 0.75 * sum(shares)
+    assert "Broadcast" not in e._jdf.queryExecution().toString()
