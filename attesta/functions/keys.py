@@ -26,7 +26,7 @@ def text_or_empty(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(text_or_empty(c), f"^{BLANK}+|{BLANK}+\\z", "")
 
 
 def clean_host(c: Column) -> Column:

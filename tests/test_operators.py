@@ -458,3 +458,18 @@ def test_edges_of_a_common_rate_are_spread_over_tasks(spark):
     shares = sorted((r["count"] for r in e.groupBy(F.spark_partition_id()).count().collect()), reverse=True)
     assert len(shares) > 1 and shares[0] < 0.75 * sum(shares)
     assert "Broadcast" not in e._jdf.queryExecution().toString()
+
+
+def test_expansion_of_odd_texts_agrees_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["", " ", "\n", "- \n\n", "\x85", "a \x85", " ```\nb", "x\r```\ry\r\n", "\x0b", "1. \x0bz \x0b", "﻿ q　", "> 2) b\n", '["x"]', "```\n```", None]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["expanded_queries"]).fetchall())
+    got = entry.queries()["expanded_queries"](spark, str(tmp_path)).select("doc_id", "n", "queries").collect()
+    assert sorted(map(tuple, got)) == want and len(want) == 14
+    assert frame(spark, [("2. ",)], "raw string").select(responses.expanded_queries(F.col("raw")).alias("q")).first()["q"] == []
