@@ -30,14 +30,19 @@ def as_timestamp(ts: Column, kind: str) -> Column:
     return F.timestamp_millis(ts) if kind in ("bigint", "long", "int") else F.try_to_timestamp(ts.cast("string"))
 
 
+def placed(experiments: DataFrame) -> DataFrame:
+    """experiment_id, page, treatment, places (pair, side) of the experiments' pages."""
+    e = experiments.select(F.col("id").alias("experiment_id"), F.posexplode("pairs").alias("pair", "p"))
+    pages = e.select("experiment_id", "pair", F.explode(F.array(F.struct(F.col("p.treatment_page").alias("page"), F.lit(1).alias("treatment")), F.struct(F.col("p.control_page").alias("page"), F.lit(0).alias("treatment")))).alias("x"))
+    return pages.groupBy("experiment_id", "x.page").agg(F.max("x.treatment").alias("treatment"), F.collect_set(F.struct("pair", F.col("x.treatment").alias("side"))).alias("places"))
+
+
 def panel(experiments: DataFrame, measurements: DataFrame) -> DataFrame:
-    """experiment_id, engine, page, pair, treatment, post, period, y: rows of the experiments' pages in either window.
+    """experiment_id, engine, page, places, treatment, post, period, y: rows of the experiments' pages in either window.
 
     Addresses match exactly. measurements: page_url, engine, window_tag, p_cited, cited, period, ts (timestamp).
     """
-    e = experiments.select(F.col("id").alias("experiment_id"), F.posexplode("pairs").alias("pair", "p"))
-    pages = e.select("experiment_id", "pair", F.explode(F.array(F.struct(F.col("p.treatment_page").alias("page"), F.lit(1).alias("treatment")), F.struct(F.col("p.control_page").alias("page"), F.lit(0).alias("treatment")))).alias("x"))
-    one = pages.groupBy("experiment_id", "x.page").agg(F.max("x.treatment").alias("treatment"), F.collect_set(F.struct("pair", F.col("x.treatment").alias("side"))).alias("places"))
+    one = placed(experiments)
     m = measurements.where(F.col("window_tag").isin("baseline", "post")).withColumn("y", outcome(F.col("p_cited"), F.col("cited"))).where("y is not null")
     j = m.join(one, m["page_url"] == one["page"])
     return j.select("experiment_id", "engine", "page", "places", "treatment", (F.col("window_tag") == "post").cast("int").alias("post"), period_key(F.col("window_tag"), F.col("period"), F.col("ts")).alias("period"), "y")
@@ -57,19 +62,29 @@ def complete_pairs(p: DataFrame) -> DataFrame:
     return full.groupBy("experiment_id", "engine").agg(F.count("*").alias("n_complete_pairs"))
 
 
-def clustered(y: np.ndarray, page: np.ndarray, period: np.ndarray, interaction: np.ndarray) -> tuple[float, float]:
-    """(estimate, standard error) of the interaction with page and period effects, errors clustered by page."""
-    dummies = [np.ones(len(y))]
+def cells(p: DataFrame) -> DataFrame:
+    """The panel by experiment, engine, page and period: rows ``n``, their sum ``s``. Treatment and window are the same
+    throughout a cell, so the fit needs no more, and its size is that of the design, however often a page is measured."""
+    by = ["experiment_id", "engine", "page", "treatment", "post", "period"]
+    return p.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+
+
+def clustered(n: np.ndarray, s: np.ndarray, page: np.ndarray, period: np.ndarray, interaction: np.ndarray) -> tuple[float, float]:
+    """(estimate, standard error) of the interaction with page and period effects, errors clustered by page.
+
+    From the cells' rows and sums: rows of a cell have the same regressors, so least squares and the scores of the
+    pages are those of the single rows.
+    """
+    dummies = [np.ones(len(n))]
     for codes in (page, period):
         dummies += [(codes == c).astype(float) for c in range(1, codes.max() + 1)]
     x = np.column_stack([*dummies, interaction])
-    inverse = np.linalg.pinv(x.T @ x)
-    beta = inverse @ x.T @ y
-    e = y - x @ beta
+    inverse = np.linalg.pinv(x.T @ (n[:, None] * x))
+    beta = inverse @ x.T @ s
     scores = np.zeros((page.max() + 1, x.shape[1]))
-    np.add.at(scores, page, x * e[:, None])
-    n, k, g = len(y), np.linalg.matrix_rank(x), len(scores)
-    small = g / max(1, g - 1) * (n - 1) / max(1, n - k)
+    np.add.at(scores, page, x * (s - n * (x @ beta))[:, None])
+    rows, k, g = n.sum(), np.linalg.matrix_rank(x), len(scores)
+    small = g / max(1, g - 1) * (rows - 1) / max(1, rows - k)
     v = small * inverse @ (scores.T @ scores) @ inverse
     return float(beta[-1]), float(np.sqrt(max(0.0, v[-1, -1])))
 
@@ -77,9 +92,9 @@ def clustered(y: np.ndarray, page: np.ndarray, period: np.ndarray, interaction:
 def estimated(experiments: DataFrame, measurements: DataFrame, alpha: float = ALPHA, min_pairs: int = MIN_PAIRS, min_lift: float = MIN_LIFT, max_width: float = MAX_WIDTH) -> DataFrame:
     """A lift result for each experiment and engine measured; a panel too thin to tell is 'inconclusive', never an error.
 
-    A panel is as large as its experiment, so each is fitted whole in one task.
+    Measurements are summed to cells first, so each experiment is fitted in one task as large as its pages and periods.
     """
-    p = panel(experiments, measurements)
+    p = cells(panel(experiments, measurements)).join(placed(experiments).select("experiment_id", "page", "places"), ["experiment_id", "page"])
     joined = p.join(complete_pairs(p), ["experiment_id", "engine"], "left").withColumn("n_complete_pairs", F.coalesce("n_complete_pairs", F.lit(0)).cast("long")).drop("places")
     z = NormalDist().inv_cdf(1 - alpha / 2)
 
@@ -87,18 +102,19 @@ def estimated(experiments: DataFrame, measurements: DataFrame, alpha: float = AL
         pairs = int(pdf["n_complete_pairs"].iloc[0])
 
         def result(estimate=0.0, low=-1.0, high=1.0, p_value=None, verdict="inconclusive"):
-            return pd.DataFrame([(pdf["experiment_id"].iloc[0], pdf["engine"].iloc[0], estimate, low, high, p_value, verdict, 2, len(pdf), pairs)], columns=[c.split()[0] for c in RESULT.split(", ")])
+            return pd.DataFrame([(pdf["experiment_id"].iloc[0], pdf["engine"].iloc[0], estimate, low, high, p_value, verdict, 2, int(pdf["n"].sum()), pairs)], columns=[c.split()[0] for c in RESULT.split(", ")])
 
         if pdf["post"].nunique() < 2 or pdf["treatment"].nunique() < 2:
             return result()
-        pdf = pdf.sort_values(["page", "period", "y"]).reset_index(drop=True)
-        mean = pdf.groupby(["treatment", "post"])["y"].mean()
+        pdf = pdf.sort_values(["page", "period"]).reset_index(drop=True)
+        sums = pdf.groupby(["treatment", "post"])[["s", "n"]].sum()
+        mean = sums["s"] / sums["n"]
         point = (mean.get((1, 1), np.nan) - mean.get((1, 0), np.nan)) - (mean.get((0, 1), np.nan) - mean.get((0, 0), np.nan))
         point = float(point) if np.isfinite(point) else 0.0
         if pairs < min_pairs:
             return result(point)
         try:
-            b, se = clustered(pdf["y"].to_numpy(float), pd.factorize(pdf["page"])[0], pd.factorize(pdf["period"])[0], (pdf["treatment"] * pdf["post"]).to_numpy(float))
+            b, se = clustered(pdf["n"].to_numpy(float), pdf["s"].to_numpy(float), pd.factorize(pdf["page"])[0], pd.factorize(pdf["period"])[0], (pdf["treatment"] * pdf["post"]).to_numpy(float))
         except np.linalg.LinAlgError:
             return result(point)
         low, high = b - z * se, b + z * se

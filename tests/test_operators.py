@@ -473,3 +473,24 @@ def test_expansion_of_odd_texts_agrees_with_the_sql(spark, tmp_path):
     got = entry.queries()["expanded_queries"](spark, str(tmp_path)).select("doc_id", "n", "queries").collect()
     assert sorted(map(tuple, got)) == want and len(want) == 14
     assert frame(spark, [("2. ",)], "raw string").select(responses.expanded_queries(F.col("raw")).alias("q")).first()["q"] == []
+
+
+def test_lift_is_fitted_from_cells_as_from_rows(spark):
+    rng = np.random.default_rng(2)
+    pages = [f"{s}{i}" for i in range(5) for s in "tc"]
+    rows = [(p, "e", "post" if w > 1 else "baseline", None, bool(rng.random() < 0.3 + 0.2 * (p[0] == "t" and w > 1)), f"w{w}", None) for p in pages for w in range(4) for _ in range(int(rng.integers(50, 100)))]
+    m = frame(spark, rows, "page_url string, engine string, window_tag string, p_cited double, cited boolean, period string, ts timestamp")
+    e = frame(spark, [("x", [(f"t{i}", f"c{i}", {}) for i in range(5)])], f"id string, pairs array<{schemas.PAIR}>")
+    df = lift.estimated(e, m)
+    r = df.first()
+    y = np.array([float(x[4]) for x in rows])
+    page, week = np.array([pages.index(x[0]) for x in rows]), np.array([int(x[5][1]) for x in rows])
+    x = np.column_stack([np.ones(len(y)), page[:, None] == np.arange(1, 10), week[:, None] == np.arange(1, 4), [v[0][0] == "t" and v[2] == "post" for v in rows]]).astype(float)
+    inverse = np.linalg.pinv(x.T @ x)
+    beta = inverse @ x.T @ y
+    scores = np.array([(x * (y - x @ beta)[:, None])[page == p].sum(axis=0) for p in range(10)])
+    v = 10 / 9 * (len(y) - 1) / (len(y) - np.linalg.matrix_rank(x)) * inverse @ scores.T @ scores @ inverse
+    half = 1.6448536269514722 * np.sqrt(v[-1, -1])
+    assert (r["estimate"], r["ci_low"], r["ci_high"]) == pytest.approx((beta[-1], beta[-1] - half, beta[-1] + half), abs=1e-9) and r["n_rows"] == len(rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()  # Python gets sums, not rows
+    assert "sum(y" in plan[plan.index("FlatMapGroups") :] and lift.cells(lift.panel(e, m)).count() == 40
