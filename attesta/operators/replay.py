@@ -35,6 +35,17 @@ def replayed(rows: DataFrame, **how) -> DataFrame:
     return rows.join(stop_runs(rows, **how), ["query_id", "engine"]).where(F.col("run_idx") < F.col("stop_k"))
 
 
+def numbered(rows: DataFrame, coarse: Column, order: list[str], name: str = "_seq") -> DataFrame:
+    """Rows with their place from 1 in the whole order. ``coarse`` is what the order begins with, such as its day: rows are counted
+    by it and numbered within it, so a task holds some of its values instead of everything.
+    """
+    r = rows.withColumn("_c", coarse)
+    ahead = r.groupBy("_c").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = r.withColumn("_i", F.row_number().over(Window.partitionBy("_c").orderBy(*order)))
+    j = within.join(ahead.withColumnRenamed("_c", "_d"), F.col("_c").eqNullSafe(F.col("_d")))
+    return j.withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_c", "_d", "_i", "_before")
+
+
 def budget_cut(queries: DataFrame, ceiling: int, actual: str = "actual", worst: str = "worst", order: str = "_seq") -> DataFrame:
     """``spent_before`` and ``done`` of each query in order: all until the first whose worst case no longer fits.
 

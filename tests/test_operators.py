@@ -494,3 +494,20 @@ def test_lift_is_fitted_from_cells_as_from_rows(spark):
     assert (r["estimate"], r["ci_low"], r["ci_high"]) == pytest.approx((beta[-1], beta[-1] - half, beta[-1] + half), abs=1e-9) and r["n_rows"] == len(rows)
     plan = df._jdf.queryExecution().optimizedPlan().toString()  # Python gets sums, not rows
     assert "sum(y" in plan[plan.index("FlatMapGroups") :] and lift.cells(lift.panel(e, m)).count() == 40
+
+
+def test_the_budget_is_numbered_by_parts(spark):
+    import datetime
+    import re
+
+    import __spark_entry__ as entry
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, None if k % 9 == 0 else start + datetime.timedelta(hours=k * 7 % 100)) for k in range(500)]
+    d = frame(spark, rows, "k long, t timestamp")
+    got = [r["k"] for r in replay.numbered(d, F.to_date("t"), ["t", "k"]).orderBy("_seq").collect()]
+    assert got == [k for k, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or start, r[0]))]
+    assert [r["_seq"] for r in replay.numbered(d, F.to_date("t"), ["t", "k"]).orderBy("_seq").collect()] == list(range(1, 501))
+    plan = entry.queries()["budget_cut"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    firsts = re.findall(r"row_number\(\) windowspecdefinition\((\S+)( ASC)?", plan)
+    assert firsts and not any(asc for _, asc in firsts)  # a partition, not an order, comes first
