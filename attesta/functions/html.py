@@ -17,6 +17,15 @@ _META = (
 )
 
 
+#: Two blanks and more, or one that is no space: the single spaces, which are most blanks, are left as they are. A range that is tested first passes over letters.
+_RUN = f"[\\s\\u00a0-\\uffff&&{BLANK}]{{2,}}|[\\t-\\r\\u00a0-\\uffff&&{BLANK}]"
+
+
+def collapsed(text: Column) -> Column:
+    """Each run of blanks as one space."""
+    return F.regexp_replace(text, _RUN, " ")
+
+
 def to_text(html: Column) -> Column:
     """Visible text: no scripts and styles, tags as blanks, six entities decoded one after another."""
     s = text_or_empty(html)
@@ -25,7 +34,7 @@ def to_text(html: Column) -> Column:
     s = F.regexp_replace(s, "<[^>]+>", " ")
     for name, char in _ENTITIES:
         s = F.regexp_replace(s, f"(?i)&{name};", char)
-    return trimmed(F.regexp_replace(s, f"{BLANK}+", " "))
+    return F.trim(collapsed(s))
 
 
 def has_schema_markup(html: Column) -> Column:
@@ -50,7 +59,7 @@ def has_comparison_table(html: Column) -> Column:
 def word_count(text: Column) -> Column:
     s = text_or_empty(text)
     seen = F.when(s.rlike("<[^>]+>"), to_text(s)).otherwise(s)
-    return F.size(F.filter(F.split(trimmed(seen), f"{BLANK}+"), lambda x: x != ""))
+    return F.size(F.array_remove(F.split(collapsed(seen), " "), ""))  # a lambda here would read the text anew for each mention
 
 
 def headings(html: Column) -> Column:

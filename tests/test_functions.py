@@ -129,3 +129,30 @@ def test_a_given_text_wins_over_the_page(spark):
     f = html.features(F.lit("<p>one two</p><h1>x</h1>"), F.lit("2026-01-01"), F.array(F.lit("red")), text=F.col("t"))
     got = spark.createDataFrame([("red green blue blue",), (None,)], "t string").select(f.alias("f")).collect()
     assert [(r["f"]["word_count"], r["f"]["query_term_coverage"], r["f"]["heading_structure"]) for r in got] == [(4.0, 1.0, 1.0), (3.0, 0.0, 1.0)]
+
+
+def test_words_of_odd_blanks_and_of_long_runs(spark):
+    import random
+    import re
+
+    from attesta.functions import html
+    from attesta.functions.keys import BLANK
+
+    rng = random.Random(3)
+    parts = ["a", "é", "\U0001f600", "<b>", "&lt;i&gt;", "&nbsp;", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", " ", "　", "﻿", "​"]
+    texts = ["", " ", "　", " " * 200_000 + "x", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    blank = re.compile(BLANK.replace("\\s", " \\t\\n\\x0b\\f\\r"))
+
+    def text(t):
+        t = re.sub("<[^>]+>", " ", t)
+        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">")):
+            t = t.replace(name, char)
+        return " ".join(x for x in blank.split(t) if x)
+
+    def words(t):
+        return len(text(t).split(" ")) if text(t) else 0
+
+    got = {r["i"]: (r["x"], r["n"]) for r in df.select("i", html.to_text(df["t"]).alias("x"), html.word_count(html.to_text(df["t"])).alias("n")).collect()}
+    assert got == {i: (text(t), words(text(t))) for i, t in enumerate(texts)}
+    assert "lambda" not in df.select(html.word_count(df["t"]))._jdf.queryExecution().optimizedPlan().toString()  # lambdas read their text anew
