@@ -41,11 +41,14 @@ def without_www(host: Column) -> Column:
     return F.regexp_replace(host, "^www\\.", "")
 
 
+#: The whole of a numeric host or one of two labels, else three labels under a two-label suffix, else two.
+_REGISTRABLE = "^[0-9]+(?:\\.[0-9]+)*$|^[^.]*(?:\\.[^.]*)?\\z|[^.]*\\.(?:" + "|".join(s.replace(".", "\\.") for s in SUFFIXES) + ")\\z|[^.]*\\.[^.]*\\z"
+
+
 def registrable(host: Column) -> Column:
-    """The last two labels, or three under a two-label suffix; numeric hosts stay whole."""
-    whole = host.rlike("^[0-9]+(\\.[0-9]+)*$") | (F.regexp_count(host, F.lit("\\.")) < 2)
-    three = F.substring_index(host, ".", -2).isin(*SUFFIXES)
-    return F.when(whole, host).when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """The last two labels, or three under a two-label suffix; numeric hosts stay whole. It mentions the host once, as
+    within a lambda each mention would be read anew."""
+    return F.regexp_extract(host, _REGISTRABLE, 0)
 
 
 def normalize_domain(c: Column) -> Column:

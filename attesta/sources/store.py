@@ -61,7 +61,7 @@ def experiments_to_store(rows: DataFrame) -> DataFrame:
 def workspaces_to_store(rows: DataFrame) -> DataFrame:
     """Own domain normalised; competitors normalised, once each, without empty ones and oneself."""
     own = keys.normalize_domain(F.col("own_domain"))
-    rivals = F.array_distinct(F.filter(F.transform("competitor_domains", keys.normalize_domain), lambda d: (d != "") & (d != own)))
+    rivals = F.array_except(F.transform("competitor_domains", keys.normalize_domain), F.array(F.lit(""), own))  # once each
     return rows.withColumn("competitor_domains", rivals).withColumn("own_domain", own)
 
 

@@ -156,3 +156,28 @@ def test_words_of_odd_blanks_and_of_long_runs(spark):
     got = {r["i"]: (r["x"], r["n"]) for r in df.select("i", html.to_text(df["t"]).alias("x"), html.word_count(html.to_text(df["t"])).alias("n")).collect()}
     assert got == {i: (text(t), words(text(t))) for i, t in enumerate(texts)}
     assert "lambda" not in df.select(html.word_count(df["t"]))._jdf.queryExecution().optimizedPlan().toString()  # lambdas read their text anew
+
+
+def test_domains_are_read_once_and_as_by_labels(spark):
+    import random
+
+    from attesta.functions import keys
+    from attesta.sources import store
+
+    rng = random.Random(8)
+    parts = ["a", "b", "co", "uk", "com", "au", "12", "", "www", "é", "x\ny", "org"]
+    hosts = [".".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(1500)] + ["1.2.3.4", "1", "1.2.3.x", "co.uk", "x.co.uk"]
+
+    def plain(h):
+        labels = h.split(".")
+        if len(labels) < 3 or all(x.isascii() and x.isdigit() for x in labels):
+            return h
+        return ".".join(labels[-3 if ".".join(labels[-2:]) in keys.SUFFIXES else -2 :])
+
+    df = spark.createDataFrame(list(enumerate(hosts)), "i int, h string")
+    assert {r["i"]: r["d"] for r in df.select("i", keys.registrable(df["h"]).alias("d")).collect()} == {i: plain(h) for i, h in enumerate(hosts)}
+    w = spark.createDataFrame([("http://www.me.com", ["b.org", "x.a.co.uk", "B.org", "", None, "me.com/x"]), ("a.com", None)], "own_domain string, competitor_domains array<string>")
+    got = store.workspaces_to_store(w)
+    assert {r["own_domain"]: r["competitor_domains"] for r in got.collect()} == {"me.com": ["b.org", "a.co.uk"], "a.com": None}
+    plan = got.select("competitor_domains")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[: plan.index("\n")].count("lambda x") <= 2 and plan[: plan.index("\n")].count("own_domain#") == 1
